@@ -57,10 +57,10 @@ def fit_rotations(sample: np.ndarray, rotations: int, rounds: int = 25, seed: in
     mean = sample.mean(axis=0)
     x = sample - mean
     rng = np.random.default_rng(seed)
-    _, _, axes = np.linalg.svd(x[: max(len(x), 1)], full_matrices=True)
+    _, axes = np.linalg.eigh(x.T @ x)
     bases = []
     for k in range(rotations):
-        r = axes.T if k == 0 else np.linalg.qr(rng.normal(size=(x.shape[1],) * 2))[0]
+        r = axes[:, ::-1] if k == 0 else np.linalg.qr(rng.normal(size=(x.shape[1],) * 2))[0]
         for _ in range(rounds):
             b = np.where(x @ r >= 0, 1.0, -1.0)
             u, _, vt = np.linalg.svd(x.T @ b)
