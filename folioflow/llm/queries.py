@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioflow.llm.encoding import repair_encoding
 from folioflow.llm.mixing import plan_shares, poisson_mix
 from folioflow.llm.packing import fill_report, pack_documents
 from folioflow.llm.pieces import split_oversized
@@ -58,6 +59,14 @@ def p7_found(spark: SparkSession, root: str) -> DataFrame:
     return p7_shares(spark, root).filter("not reachable").select("source")
 
 
+def p8_restored(spark: SparkSession, root: str) -> DataFrame:
+    return repair_encoding(table(spark, root, "documents"))
+
+
+def p8_found(spark: SparkSession, root: str) -> DataFrame:
+    return p8_restored(spark, root).filter("damaged").select("doc_id")
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1].isdigit() and callable(f)}
 
