@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioflow.llm.clusters import cluster_rows, tie_to_known
 from folioflow.llm.encoding import repair_encoding
 from folioflow.llm.mixing import plan_shares, poisson_mix
 from folioflow.llm.packing import fill_report, pack_documents
 from folioflow.llm.pieces import split_oversized
 from folioflow.llm.similar import near_pairs, nearest_vectors
-from folioflow.runtime import table
+from folioflow.runtime import cut, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,6 +35,25 @@ def p2_found(spark: SparkSession, root: str) -> DataFrame:
     return p2_pieces(spark, root).filter("piece = 0").select("id")
 
 
+def _tied(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    rows = table(spark, root, "pgvector")
+    members, clusters = cluster_rows(rows)
+    members = cut(members)
+    tied = tie_to_known(members, rows.select("id", "doc_id"), table(spark, root, "paper_clusters"))
+    return members, clusters, tied
+
+
+def p3_clusters(spark: SparkSession, root: str) -> DataFrame:
+    _, clusters, tied = _tied(spark, root)
+    themes = table(spark, root, "paper_clusters").select("cluster_id", "theme")
+    return clusters.join(tied.join(themes, "cluster_id"), "cluster", "left").select("cluster", "cluster_id", "theme", "size", "typical")
+
+
+def p3_found(spark: SparkSession, root: str) -> DataFrame:
+    members, _, tied = _tied(spark, root)
+    return members.join(tied, "cluster").select("cluster_id", "id")
+
+
 def p6_packed(spark: SparkSession, root: str) -> DataFrame:
     return pack_documents(table(spark, root, "documents"), table(spark, root, "pack_specs"))
 
