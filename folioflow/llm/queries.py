@@ -11,7 +11,9 @@ from folioflow.llm.clusters import cluster_rows, tie_to_known
 from folioflow.llm.encoding import repair_encoding
 from folioflow.llm.mixing import plan_shares, poisson_mix
 from folioflow.llm.packing import fill_report, pack_documents
+from folioflow.llm.pairs import broken_pairs
 from folioflow.llm.pieces import split_oversized
+from folioflow.llm.scans import find_noise, repair_scans
 from folioflow.llm.similar import near_pairs, nearest_vectors
 from folioflow.runtime import cut, table
 
@@ -54,6 +56,19 @@ def p3_found(spark: SparkSession, root: str) -> DataFrame:
     return members.join(tied, "cluster").select("cluster_id", "id")
 
 
+def p4_repaired(spark: SparkSession, root: str) -> DataFrame:
+    return repair_scans(table(spark, root, "chunk_results"), table(spark, root, "source_papers"))
+
+
+def p4_found(spark: SparkSession, root: str) -> DataFrame:
+    findings, _ = find_noise(table(spark, root, "chunk_results"), table(spark, root, "source_papers"))
+    return findings.select("id", "noise").distinct()
+
+
+def p5_found(spark: SparkSession, root: str) -> DataFrame:
+    return broken_pairs(table(spark, root, "qa_pairs"))
+
+
 def p6_packed(spark: SparkSession, root: str) -> DataFrame:
     return pack_documents(table(spark, root, "documents"), table(spark, root, "pack_specs"))
 
