@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.llm.similar import nearest_vectors, usable
-from folioflow.runtime import cut
+from folioflow.runtime import broadcast_within, cut
 
 #: Centres that one pass over the rows compares; more are taken in further blocks.
 CENTRE_BLOCK = 512
@@ -34,27 +34,26 @@ def merge_rounds(nodes: DataFrame, edges: DataFrame, threshold: float = 0.5, sla
     between equal or unknown ids must not be given. ``most_rounds`` is a guard
     against endless runs: RuntimeError if merges were still open by then.
     """
-    label = cut(nodes.select("id", F.col("id").alias("cluster")))
-    link = cut(edges.groupBy("a", "b").agg(F.sum("sim").alias("s"), F.count("*").alias("c")))
-    for _ in range(most_rounds):
-        both = link.select("a", "b", (F.col("s") / F.col("c")).alias("w"))
-        both = both.filter(F.col("w") >= threshold)
+    label = nodes.select("id", F.col("id").alias("cluster"))
+    link = edges.groupBy("a", "b").agg(F.sum("sim").alias("s"), F.count("*").alias("c"))
+    for k in range(most_rounds):
+        link = cut(link)
+        both = link.select("a", "b", (F.col("s") / F.col("c")).alias("w")).filter(F.col("w") >= threshold)
         both = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))
-        best = cut(
-            both.groupBy("a").agg(F.max(F.struct("w", (-F.col("b")).alias("nb"))).alias("m")).select("a", (-F.col("m.nb")).alias("b"), F.col("m.w").alias("w"))
-        )
-        if best.isEmpty():
-            return label
+        best = both.groupBy("a").agg(F.max(F.struct("w", (-F.col("b")).alias("nb"))).alias("m")).select("a", (-F.col("m.nb")).alias("b"), F.col("m.w").alias("w"))
         mate = best.select(F.col("a").alias("b"), F.col("b").alias("bb"), F.col("w").alias("bw"))
         pointed = best.join(mate, "b").select("a", "b", "w", "bw", (F.col("bb") == F.col("a")).alias("mutual"))
-        mutual = pointed.filter("mutual").select(F.col("a").alias("x"), F.least("a", "b").alias("root"))
-        pairs = mutual.select(F.col("x").alias("a"), "root")
-        near = (
-            pointed.filter(~F.col("mutual") & (F.col("w") >= F.col("bw") * (1 - slack)))
-            .join(mutual, F.col("b") == F.col("x"))
+        paired = pointed.filter("mutual").select(F.col("a").alias("b"), F.least("a", "b").alias("root"))
+        # A mutual pair takes its smaller id; a cluster near such a pair takes the pair's.
+        moves = (
+            pointed.filter(F.col("mutual") | (F.col("w") >= F.col("bw") * (1 - slack)))
+            .join(paired, "b")
+            .filter("a <> root")
             .select("a", "root")
         )
-        moves = cut(pairs.unionByName(near).filter("a <> root"))
+        moves = cut(moves)
+        if moves.isEmpty():
+            return label
         root = lambda c: F.coalesce(F.col(f"r{c}"), F.col(c)).alias(c)
         link = (
             link.join(moves.select("a", F.col("root").alias("ra")), "a", "left")
@@ -64,10 +63,9 @@ def merge_rounds(nodes: DataFrame, edges: DataFrame, threshold: float = 0.5, sla
             .groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
             .agg(F.sum("s").alias("s"), F.sum("c").alias("c"))
         )
-        link = cut(link)
-        label = cut(
-            label.join(moves.select(F.col("a").alias("cluster"), "root"), "cluster", "left").select("id", F.coalesce("root", "cluster").alias("cluster"))
-        )
+        label = label.join(moves.select(F.col("a").alias("cluster"), "root"), "cluster", "left").select("id", F.coalesce("root", "cluster").alias("cluster"))
+        if k % 4 == 3:
+            label = cut(label)
     raise RuntimeError(f"merges were still open after {most_rounds} rounds")
 
 
@@ -146,13 +144,13 @@ def cluster_rows(
     for _ in range(passes):
         centres = mean_directions(members, dim).filter(F.col("size") >= least)
         again = cut(within(units, centres, bound))
-        old, new = members.select("id", "cluster"), again.select("id", "cluster")
-        stable = old.exceptAll(new).isEmpty() and new.exceptAll(old).isEmpty()
+        moved = members.select("id", "cluster").join(again.select("id", F.col("cluster").alias("new")), "id", "full").filter(~F.col("cluster").eqNullSafe(F.col("new")))
+        stable = moved.isEmpty()
         members = again
         if stable:
             break
     kept = members.groupBy("cluster").agg(F.count("*").alias("size")).filter(F.col("size") >= least)
-    members = members.join(F.broadcast(kept.select("cluster")) if kept.count() <= 100_000 else kept.select("cluster"), "cluster", "left_semi")
+    members = members.join(broadcast_within(kept.select("cluster"), 100_000), "cluster", "left_semi")
     # Most typical members in two steps, so that a large cluster isn't gathered in one task.
     ranked = members.select("cluster", "id", F.struct((-F.col("cosine")).alias("w"), "id").alias("e")).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64)))
     few = ranked.groupBy("cluster", "salt").agg(F.slice(F.array_sort(F.collect_list("e")), 1, 5).alias("l"), F.count("*").alias("n"))
