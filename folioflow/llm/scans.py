@@ -23,6 +23,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -57,10 +58,15 @@ _BESIDE = re.compile(
     rf"(?:(?:\s{{2,}}|\t|\s*[|·—–]\s*|\s+-\s+)[\s|·—–-]*(?:page\s+)?({_NUMBER})[\W_]*)?$",
     re.IGNORECASE,
 )
+_RUNNING = re.compile(r"^[a-z]+(?: [a-z]|$)")
+_SPACED = re.compile(r"^(?:\w\W? {1,3}){3,}\w?")
+_YEAR = re.compile(r"(?:19|20)\d\d|[’']\d\d")
+_LETTERS = re.compile(r"[^\W\d_]{2}")
+_APART = re.compile(r"[\t|·—–]| - ")
 _ROMAN = re.compile(r"^\W*(?=[ivxlc])(?:xl|l?x{0,3})(?:ix|iv|v?i{0,3})\W*$")
 _CUT = re.compile(r"([^\W\d_]+)[-‐‑¬­][ \t]*$")
 _GOES_ON = re.compile(r"^[\s>|*•]*([^\W\d_][^\W_]*)")
-_REJOIN = re.compile(r"([^\W\d_])[-‐‑¬\xad][ \t]*\n[ \t]*([^\W\d_])")
+_REJOIN = re.compile(r"(?<=[^\W\d_])[-‐‑¬\xad][ \t]*\n[ \t]*(?=[^\W\d_])")
 #: A line that starts in lower case and still is a head: a name with its year.
 _LOW_HEAD = re.compile(r"^\w+-(?:\w\w)?\d\d\b.*\w{4}")
 _DATA = re.compile(r"\t|\S {2,}\S|\|.*\|")
@@ -127,7 +133,8 @@ def word_counts(texts: DataFrame, flush: int = 400_000) -> DataFrame:
         for x in batches:
             for t in x["text"]:
                 if t:
-                    w = TOKEN.findall(_REJOIN.sub(r"\1\2", t.lower()))
+                    low = t.lower()
+                    w = TOKEN.findall(_REJOIN.sub("", low) if "\n" in low else low)
                     one.update(w)
                     two.update(zip(w, w[1:]))
             if len(one) + len(two) > flush:
@@ -182,27 +189,39 @@ def misreadings(words: DataFrame, ratio: float = 12.0, shortest: int = 3) -> Dat
 
 def head_parts(line: str) -> tuple[str, bool]:
     """(the line without page number and ornament, whether a page number stands beside it)."""
-    m = _BESIDE.match(line.strip())
-    lead, core, trail = m.groups() if m else (None, line.strip(), None)
+    flat = line.strip()
+    m = _BESIDE.match(flat) if "  " in flat or _APART.search(flat) else None
+    lead, core, trail = m.groups() if m else (None, flat, None)
     core = core.strip(" \t|·—–-")
-    year = re.compile(r"^(?:19|20)\d\d$")
-    if trail and year.match(trail) and not re.search(r"(?:19|20)\d\d|[’']\d\d", core):
+    if trail and len(trail) == 4 and _YEAR.match(trail) and not _YEAR.search(core):
         core, trail = f"{core} {trail}", None
-    return core, bool(lead or trail) and bool(re.search(r"[^\W\d_]{2}", core))
+    return core, bool(lead or trail) and bool(_LETTERS.search(core))
 
 
 def head_form(text: str) -> str:
     """Letters of a head or title, folded so that misread and spaced forms agree; c stands for c, e and f."""
-    flat = re.sub(r"[\W_]+", "", "".join(SIGNS.get(c, c) for c in text.lower()) if re.search(r"[^\W\d_]", text) else text.lower())
+    flat = _FLAT.sub("", text.lower().translate(_SIGNED))
     for group, letter in GROUPS:
         flat = flat.replace(group, letter)
     return flat.translate(_ALIKE)
 
 
+_SIGNED = str.maketrans(SIGNS)
+_FLAT = re.compile(r"[\W_]+")
+_DATED = re.compile(r"\d|proc|pr0c")
+
+
+@lru_cache(maxsize=100_000)
+def _word_form(word: str) -> str:
+    return head_form(word)
+
+
 def head_name(core: str) -> str:
     """The form of the one word of a head line that is no usual head word, number or letter; else nothing."""
-    rest = [w for w in re.findall(r"[^\W_]+", core) if len(w) > 1 and not w.isdigit() and head_form(w) not in _HEAD_FORMS]
-    return head_form(rest[0]) if len(rest) == 1 and len(core) <= 70 and re.search(r"\d|proc|pr0c", core.lower()) else ""
+    if len(core) > 70 or not _DATED.search(core.lower()):
+        return ""
+    rest = [w for w in re.findall(r"[^\W_]+", core) if len(w) > 1 and not w.isdigit() and _word_form(w) not in _HEAD_FORMS]
+    return _word_form(rest[0]) if len(rest) == 1 else ""
 
 
 _ALIKE = str.maketrans({"e": "c", "f": "c", "h": "b", "i": "l", "t": "l"})
@@ -223,23 +242,27 @@ def line_findings(text: str) -> tuple[list[tuple[str, int, str, str]], list[str]
         return [], lines
     out: list[tuple[str, int, str, str]] = []
     noise: set[int] = set()
-    table = sum(bool(_DATA.search(x)) for x in lines) * 2 > len(lines)
+    table: bool | None = None
     for k, line in enumerate(lines):
         s = line.strip()
-        if not s:
+        if not s or len(s) > 100:
             continue
-        m = _PAGE.match(s) or (len(lines) > 2 and _ROMAN.match(s))
-        if m and not table and not s.endswith((")", "].", ",", ";", "%")) and not s.startswith(("+", "(")):
-            out.append(("page_number", k, m.group(0).strip(), ""))
-            noise.add(k)
+        m = len(s) <= 24 and (_PAGE.match(s) or (len(lines) > 2 and _ROMAN.match(s)))
+        if m and s[-1] not in "),;%]" and not s.endswith("].") and s[0] not in "+(":
+            if table is None:
+                table = sum(bool(_DATA.search(x)) for x in lines) * 2 > len(lines)
+            if not table:
+                out.append(("page_number", k, s, ""))
+                noise.add(k)
+                continue
+        if s[-1] in ".;,:?!" and not s.endswith("...") or s[0].islower() and _RUNNING.match(s):
             continue
-        if len(s) <= 100 and not re.search(r"[.;,:?!]$", re.sub(r"(?:…|\.\.\.)$", "", s)) and not re.match(r"^[a-z]+(?: [a-z]|$)", s):
-            core, beside = head_parts(s)
-            spaced = bool(re.match(r"^(?:\w\W? {1,3}){3,}\w?", core))
-            if len(core) >= 4:
-                form = head_form(core)
-                if len(form) >= 4:
-                    out.append(("head", k, form, ("n" if beside else "") + ("s" if spaced or core.isupper() else "") + " " + head_name(core)))
+        core, beside = head_parts(s)
+        if len(core) >= 4:
+            form = head_form(core)
+            if len(form) >= 4:
+                spaced = core.isupper() or bool(_SPACED.match(core))
+                out.append(("head", k, form, ("n" if beside else "") + ("s" if spaced else "") + " " + head_name(core)))
     maybe = noise | {k for kind, k, _, _ in out if kind == "head"}
     for k, line in enumerate(lines[:-1]):
         m = _CUT.search(line)
@@ -299,11 +322,11 @@ def find_noise(
                     if kind == "hyphen_break":
                         halves |= {a.lower(), b.split(" ", 1)[1].lower()}
                 low = t.lower()
-                w = TOKEN.findall(_REJOIN.sub(r"\1\2", low))
+                w = TOKEN.findall(_REJOIN.sub("", low) if "\n" in low else low)
                 odd = [p for p, token in enumerate(w) if token not in known and token not in halves]
                 if odd:
-                    where = {token: k for k, line in reversed(list(enumerate(low.split("\n")))) for token in TOKEN.findall(line)}
-                    rows += [(i, doc, "word", where.get(w[p], -1), w[p], w[p - 1] if p else "", w[p + 1] if p + 1 < len(w) else "") for p in odd]
+                    where = {} if "\n" not in low else {token: k for k, line in reversed(list(enumerate(low.split("\n")))) for token in TOKEN.findall(line)}
+                    rows += [(i, doc, "word", where.get(w[p], 0), w[p], w[p - 1] if p else "", w[p + 1] if p + 1 < len(w) else "") for p in odd]
             yield pd.DataFrame(rows, columns=["id", "doc_id", "kind", "line", "a", "b", "c"])
 
     raw = cut(texts.mapInPandas(scan, "id long, doc_id string, kind string, line int, a string, b string, c string"))
