@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 
@@ -63,3 +64,13 @@ def broadcast_within(small: DataFrame, limit: int) -> DataFrame:
     after ``limit + 1`` rows.
     """
     return F.broadcast(small) if small.limit(limit + 1).count() <= limit else small
+
+
+def tidy(spark: SparkSession) -> None:
+    """Lets go of what earlier rounds of an iteration left behind.
+
+    Shuffle files, broadcasts and checkpoints are removed only once the driver has
+    collected the objects that stand for them, which a long loop puts off.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
