@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,6 +57,35 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Kept:
+    """Tables of an iteration, written to the shared folder and read back.
+
+    Unlike a checkpoint, a table read back has the size of its files for its
+    statistics; those of a checkpoint stem from its plan, and over many rounds of
+    joins the product of sizes grows into numbers that fill the driver's memory.
+    ``drop`` removes a table that is not needed any more; what is left goes at exit.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder = spark, f"{shared_dir(spark)}/kept-{uuid.uuid4().hex}"
+        self.paths: dict[str, str] = {}
+        atexit.register(self._remove, self.folder)
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        path = self.paths[name] = f"{self.folder}/{name}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, name: str) -> None:
+        self._remove(self.paths.pop(name))
+
+    def _remove(self, path: str) -> None:
+        jvm = self.spark.sparkContext._jvm
+        if jvm is not None and self.spark.sparkContext._jsc is not None:
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def broadcast_within(small: DataFrame, limit: int) -> DataFrame:
     """``small`` with a broadcast hint if it has at most ``limit`` rows.
 
@@ -65,12 +94,3 @@ def broadcast_within(small: DataFrame, limit: int) -> DataFrame:
     """
     return F.broadcast(small) if small.limit(limit + 1).count() <= limit else small
 
-
-def tidy(spark: SparkSession) -> None:
-    """Lets go of what earlier rounds of an iteration left behind.
-
-    Shuffle files, broadcasts and checkpoints are removed only once the driver has
-    collected the objects that stand for them, which a long loop puts off.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
