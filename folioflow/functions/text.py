@@ -79,7 +79,7 @@ def truncate(text: Column, size: int, mark: str = "...") -> Column:
 
 def keywords(text: Column) -> Column:
     """Distinct words of three letters a-z or more, in order, without stop words."""
-    found = F.regexp_extract_all(F.lower(text), F.lit(r"\b[a-z]{3,}\b"), F.lit(0))
+    found = F.filter(F.regexp_extract_all(F.lower(text), F.lit(rf"{W}+"), F.lit(0)), lambda w: w.rlike("^[a-z]{3,}$"))
     return F.array_distinct(F.array_except(found, F.array(*[F.lit(w) for w in KEYWORD_STOP_WORDS])))
 
 

@@ -59,16 +59,17 @@ def collection(papers: DataFrame, chunks: DataFrame) -> DataFrame:
     """The unified collection, without vectors: paper rows (chunk_id -1) and chunk rows.
 
     ``papers`` are exported papers, ``chunks`` chunk rows; a chunk takes the scalar
-    fields of its paper where it has one (the first by title if it is listed twice).
+    fields of its paper where it has one (the smallest of each if it is listed twice).
     """
-    one = papers.groupBy("doc_id").agg(F.min(F.struct("title", "url", "pdf_url", "conference_name", "conference_year", "conference_round")).alias("p"))
+    fields = ("title", "url", "pdf_url", "conference_name", "conference_year", "conference_round")
+    one = papers.groupBy("doc_id").agg(*[F.min(c).alias(c) for c in fields]).select("doc_id", F.struct(*fields).alias("p"))
     paper_rows = papers.select(
         "doc_id", F.col("abstract").alias("text"), "title", "url", "pdf_url", "conference_name", F.col("conference_year").cast("long"), "conference_round",
         F.lit(-1).cast("long").alias("chunk_id"), F.lit(ABSTRACT).cast("long").alias("section_category"),
         F.lit("").alias("section_title"), F.lit("").alias("parent_section"), F.lit(0).cast("long").alias("page_number"),
     )
     chunk_rows = chunks.join(one, "doc_id", "left").select(
-        "doc_id", F.col("chunk_text").alias("text"), "p.title", "p.url", "p.pdf_url", "p.conference_name", F.col("p.conference_year").cast("long"), "p.conference_round",
+        "doc_id", F.col("chunk_text").alias("text"), "p.title", "p.url", "p.pdf_url", "p.conference_name", F.col("p.conference_year").cast("long").alias("conference_year"), "p.conference_round",
         F.col("chunk_index").cast("long").alias("chunk_id"), F.coalesce(F.col("section_category").cast("long"), F.lit(OTHER).cast("long")).alias("section_category"),
         F.coalesce("section_title", F.lit("")).alias("section_title"), F.coalesce("parent_section", F.lit("")).alias("parent_section"),
         F.coalesce(F.col("page_number").cast("long"), F.lit(0).cast("long")).alias("page_number"),

@@ -120,7 +120,7 @@ def hashing_embedding(text: Column, dim: int = 64) -> Column:
     """A deterministic embedding in the JVM: counts of hashed words, scaled to length 1; zeros without words."""
     words = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
     slots = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(dim)))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda k: F.size(F.filter(slots, lambda s: s == k)).cast("double"))
+    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda k: (F.size(slots) - F.size(F.array_remove(slots, k.cast("long")))).cast("double"))
     norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda a, x: a + x * x))
     return F.transform(counts, lambda x: F.coalesce(F.try_divide(x, norm), F.lit(0.0)).cast("float"))
 

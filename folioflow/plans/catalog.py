@@ -2,22 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-from folioflow.runtime import table
-
-Query = Callable[[SparkSession, str], DataFrame]
+from folioflow.plans import corpus, records, retrieval, texts  # noqa: F401  (they register their queries)
+from folioflow.plans.registry import QUERIES, SQL, Query
 
 
 def flagship(spark: SparkSession, root: str) -> DataFrame:
-    return table(spark, root, "pgvector").groupBy("conference_name").count()
+    """Abstract search with one hit for each document."""
+    return retrieval.v4_search_abstracts(spark, root)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)

@@ -19,9 +19,9 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite", partition_by:
     (writer.partitionBy(*partition_by) if partition_by else writer).json(path)
 
 
-def read_chunk_files(spark: SparkSession, path: str) -> DataFrame:
-    """Chunk files, a JSON document for each paper, as chunk rows; chunk_text falls back to text."""
-    docs = spark.read.schema(model.CHUNK_FILE).option("multiLine", True).json(path)
+def read_chunk_files(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Chunk files, a JSON document for each paper (or one a line), as chunk rows; chunk_text falls back to text."""
+    docs = spark.read.schema(model.CHUNK_FILE).option("multiLine", multi_line).json(path)
     flat = docs.select("doc_id", "title", "strategy", F.explode("chunks").alias("c"))
     return flat.select("doc_id", "title", "strategy", F.coalesce("c.chunk_text", "c.text").alias("chunk_text"), "c.contextual_prefix", "c.chunk_index", "c.section_title", "c.section_category", "c.parent_section", "c.page_number")
 
@@ -37,9 +37,9 @@ def chunk_documents(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("doc_id", "strategy").agg(ordered.alias("chunks"))
 
 
-def read_ground_truth(spark: SparkSession, path: str) -> DataFrame:
-    """The questions of ground-truth documents, one row each."""
-    return spark.read.schema(model.GROUND_TRUTH).option("multiLine", True).json(path).select(F.inline("qa_pairs"))
+def read_ground_truth(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """The questions of ground-truth documents (one a file, or one a line), one row each."""
+    return spark.read.schema(model.GROUND_TRUTH).option("multiLine", multi_line).json(path).select(F.inline("qa_pairs"))
 
 
 def ground_truth(pairs: DataFrame, version: str = "1.0") -> DataFrame:
@@ -56,6 +56,13 @@ def ground_truth(pairs: DataFrame, version: str = "1.0") -> DataFrame:
     )
 
 
+def ground_truth_blocks(pairs: DataFrame, size: int = 500, version: str = "1.0") -> DataFrame:
+    """Questions as documents of at most about ``size`` each, so that no row holds an unbounded set."""
+    fields = ["id", "question", "difficulty", "expected_doc_ids", "expected_chunk_ids", "answer_source", "reference_answer", "is_multi_paper"]
+    block = F.floor(F.col("id") / size)
+    return pairs.groupBy(block.alias("block")).agg(F.lit(version).alias("version"), F.array_sort(F.collect_list(F.struct(*fields))).alias("qa_pairs")).drop("block")
+
+
 def read_url_list(spark: SparkSession, path: str) -> DataFrame:
     """(url): lines of a list, without blank ones and comments."""
     return url_lines(spark.read.text(path))
