@@ -15,13 +15,17 @@ repeated until the membership stays as it is.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark import Broadcast
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.llm.similar import nearest_vectors, usable
-from folioflow.runtime import broadcast_within, cut
+from folioflow.runtime import Kept, broadcast_within, cut
 
 #: Centres that one pass over the rows compares; more are taken in further blocks.
 CENTRE_BLOCK = 512
@@ -34,10 +38,10 @@ def merge_rounds(nodes: DataFrame, edges: DataFrame, threshold: float = 0.5, sla
     between equal or unknown ids must not be given. ``most_rounds`` is a guard
     against endless runs: RuntimeError if merges were still open by then.
     """
-    label = nodes.select("id", F.col("id").alias("cluster"))
-    link = edges.groupBy("a", "b").agg(F.sum("sim").alias("s"), F.count("*").alias("c"))
+    kept = Kept(nodes.sparkSession)
+    link = kept.write(edges.groupBy("a", "b").agg(F.sum("sim").alias("s"), F.count("*").alias("c")), "link0")
+    history: DataFrame | None = None
     for k in range(most_rounds):
-        link = cut(link)
         both = link.select("a", "b", (F.col("s") / F.col("c")).alias("w")).filter(F.col("w") >= threshold)
         both = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))
         best = both.groupBy("a").agg(F.max(F.struct("w", (-F.col("b")).alias("nb"))).alias("m")).select("a", (-F.col("m.nb")).alias("b"), F.col("m.w").alias("w"))
@@ -51,24 +55,38 @@ def merge_rounds(nodes: DataFrame, edges: DataFrame, threshold: float = 0.5, sla
             .filter("a <> root")
             .select("a", "root")
         )
-        moves = cut(moves)
+        moves = kept.write(moves, f"moves{k}")
         if moves.isEmpty():
-            return label
-        root = lambda c: F.coalesce(F.col(f"r{c}"), F.col(c)).alias(c)
-        link = (
+            return _resolve(nodes, history, kept)
+        history = moves if history is None else history.unionByName(moves)
+        merged = (
             link.join(moves.select("a", F.col("root").alias("ra")), "a", "left")
             .join(moves.select(F.col("a").alias("b"), F.col("root").alias("rb")), "b", "left")
-            .select(root("a"), root("b"), "s", "c")
+            .select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"), "s", "c")
             .filter("a <> b")
             .groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
             .agg(F.sum("s").alias("s"), F.sum("c").alias("c"))
         )
-        label = label.join(moves.select(F.col("a").alias("cluster"), "root"), "cluster", "left").select("id", F.coalesce("root", "cluster").alias("cluster"))
-        if k % 4 == 3:
-            label = cut(label)
+        link = kept.write(merged, f"link{k + 1}")
+        kept.drop(f"link{k}")
     raise RuntimeError(f"merges were still open after {most_rounds} rounds")
 
 
+def _resolve(nodes: DataFrame, history: DataFrame | None, kept: Kept) -> DataFrame:
+    """(id, cluster) from all moves (a, root): each cluster moved once at most, so roots are found by doubling the steps."""
+    if history is None:
+        return nodes.select("id", F.col("id").alias("cluster"))
+    jump, k = kept.write(history.coalesce(64), "jump0"), 0
+    while True:
+        k += 1
+        further = jump.join(jump.select(F.col("a").alias("root"), F.col("root").alias("next")), "root", "left")
+        after = kept.write(further.select("a", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), f"jump{k}")
+        jump = after.select("a", "root")
+        if after.filter("moved").isEmpty():
+            break
+    return nodes.join(jump.select(F.col("a").alias("id"), F.col("root")), "id", "left").select("id", F.coalesce("root", "id").alias("cluster"))
+
+
 def mean_directions(members: DataFrame, dim: int) -> DataFrame:
     """(cluster, centre, size): centres of length 1; clusters whose vectors cancel out are left out."""
     sums = members.groupBy("cluster").agg(F.count("*").alias("size"), *[F.sum(F.col("u")[i]).alias(f"s{i}") for i in range(dim)])
@@ -79,32 +97,40 @@ def mean_directions(members: DataFrame, dim: int) -> DataFrame:
     )
 
 
-def _dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-
-
 def within(units: DataFrame, centres: DataFrame, bound: float) -> DataFrame:
-    """(id, u, cluster, cosine): for each row the centre it is nearest to, if within ``bound``.
+    """(id, u, cluster, cosine): for each row the centre it is nearest to, if within ``bound``; ties by the smaller cluster.
 
-    Centres are compared in blocks of ``CENTRE_BLOCK``, each of bounded size and so
-    broadcast; their number doesn't limit the method.
+    Centres are compared in blocks of ``CENTRE_BLOCK``, each a broadcast of bounded
+    size; their number doesn't limit the method.
     """
-    ordered = centres.select("cluster", "centre").orderBy("cluster").collect()
+    ordered = centres.select("cluster", "centre").orderBy("cluster").toPandas()
     spark = units.sparkSession
     found = []
     for k in range(0, len(ordered), CENTRE_BLOCK):
-        block = spark.createDataFrame([(r.cluster, r.centre) for r in ordered[k : k + CENTRE_BLOCK]], "cluster long, centre array<double>")
-        held = block.agg(F.collect_list(F.struct("cluster", "centre")).alias("cs"))
-        scored = units.join(F.broadcast(held), F.lit(True)).select(
-            "id", "u", F.array_max(F.transform("cs", lambda c: F.struct(_dot(F.col("u"), c["centre"]).alias("w"), (-c["cluster"]).alias("nc")))).alias("m")
-        )
-        found.append(scored.filter(F.col("m.w") >= bound))
+        block = ordered.iloc[k : k + CENTRE_BLOCK]
+        found.append(_within_block(units, spark.sparkContext.broadcast((block["cluster"].to_numpy(), np.stack(block["centre"].to_numpy()))), bound))
     if not found:
         return units.select("id", "u", F.lit(None).cast("long").alias("cluster"), F.lit(None).cast("double").alias("cosine")).filter("false")
-    if len(found) > 1:
-        every = reduce(DataFrame.unionByName, found)
-        found = [every.groupBy("id").agg(F.max("m").alias("m"), F.first("u").alias("u"))]
-    return found[0].select("id", "u", (-F.col("m.nc")).alias("cluster"), F.col("m.w").alias("cosine"))
+    if len(found) == 1:
+        return found[0]
+    best = F.max(F.struct("cosine", (-F.col("cluster")).alias("nc"))).alias("m")
+    every = reduce(DataFrame.unionByName, found).groupBy("id").agg(best, F.first("u").alias("u"))
+    return every.select("id", "u", (-F.col("m.nc")).alias("cluster"), F.col("m.cosine").alias("cosine"))
+
+
+def _within_block(units: DataFrame, shared: Broadcast, bound: float) -> DataFrame:
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, centres = shared.value
+        for x in batches:
+            if not len(x):
+                continue
+            cosine = np.stack(x["u"].to_numpy()) @ centres.T
+            best = cosine.argmax(axis=1)
+            top = cosine[np.arange(len(x)), best]
+            keep = top >= bound
+            yield pd.DataFrame({"id": x["id"][keep], "u": x["u"][keep], "cluster": names[best[keep]], "cosine": top[keep]})
+
+    return units.mapInPandas(compare, "id long, u array<double>, cluster long, cosine double")
 
 
 def cluster_rows(
