@@ -35,6 +35,7 @@ QUOTES = {"“": "”", "„": "“”", "«": "»", "»": "«", '"': '"', "'":
 LOST = "\ufffd"
 #: Characters that stand for lost ones, and control characters that no text holds.
 _GONE = re.compile("[\ufffd\x80-\x84\x86-\x9f]+")
+_CITED = re.compile("[“„«»\"'‘‚`‹]([^\x00-\x7f“”„«»‘‚`‹›]+)(?=[“”„«»\"'’‘`›])")
 _WORD = re.compile(r"\S+")
 _HIGH = re.compile(r"[^\x00-\x7f]+")
 
@@ -111,6 +112,7 @@ class Model:
         self.next = np.log2((c + 2.0 * prior) / (left[:, None] + 2.0)).astype(np.float32)
         self.suspicion = suspicion
         self.table = self.next.tolist()
+        self.seen = (c > 0).tolist()
         self.memo: dict = {}
 
     def likelihood(self, text: str) -> float:
@@ -158,6 +160,12 @@ class Model:
             k = int(np.searchsorted(hot, e + 1))
         return out
 
+    def attested(self, text: str) -> bool:
+        """Whether most pairs of the text above ASCII occur in the corpus."""
+        s = [symbol(c) for c in text]
+        pairs = [(a, b) for a, b in zip(s, s[1:]) if a > 127 or b > 127]
+        return sum(self.seen[a][b] for a, b in pairs) >= 0.6 * len(pairs)
+
     def quoted(self, text: str, a: int, b: int) -> bool:
         """Whether text[a:b] stands alone between intact quotation marks."""
         return 0 < a and b < len(text) and text[b] in QUOTES.get(text[a - 1], "")
@@ -182,7 +190,8 @@ class Model:
             new = undo_bytes(run, wrong)
             if new is not None and new != run:
                 gain = self.likelihood(before + new + after) - now
-                if gain > max(most, 1.0):
+                # Hardly any string is valid UTF-8 by chance, so little else is asked.
+                if gain > (most if found else -4.0):
                     found, most = (new, (wrong, "utf-8")), gain
         if found:
             return found
@@ -197,7 +206,7 @@ class Model:
             if before and self.table[symbol(before[-1])][symbol(new[0])] < -20:
                 continue
             gain = self.likelihood(before + new + after) - now
-            if gain > max(most, 1.0 if proved else 5.0):
+            if gain > max(most, 1.0 if proved else 5.0) and (proved or self.attested(before[-1:] + new + after[:1])):
                 found, most = (new, mapping), gain
         return found
 
@@ -207,7 +216,7 @@ class Model:
         known: frozenset[tuple[str, str]] = frozenset()
         for _ in range(depth):
             out, at, before = [], 0, known
-            for a, b in self.runs(text):
+            for a, b in self._unquoted(text, self.runs(text)):
                 for c, d, new, mapping in self._undone(text, a, b, known):
                     if c < at or self.quoted(text, c, d):
                         continue
@@ -224,6 +233,18 @@ class Model:
                 lost = lost or LOST in m.group()
         return damaged, lost, text
 
+    def _unquoted(self, text: str, runs: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+        """Runs without the stretches above ASCII that stand alone between intact quotation marks."""
+        held = [m.span(1) for m in _CITED.finditer(text) if self.quoted(text, *m.span(1))]
+        for a, b in runs:
+            for c, d in held:
+                if a < d and c < b:
+                    if a < c - 1:
+                        yield a, c - 1
+                    a = d + 1
+            if a < b:
+                yield a, b
+
     def _undone(self, text: str, a: int, b: int, known: frozenset[tuple[str, str]]) -> Iterator[tuple[int, int, str, tuple[str, str]]]:
         """Undoings in a run: of the whole, else word by word, else of each stretch above ASCII."""
 
@@ -291,17 +312,20 @@ def repair_encoding(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     or be null: each row is answered. Other columns are ignored.
     """
     spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    # Ids travel as strings: a null among numbers would turn them into floats.
+    kind = docs.schema[id_col].dataType.simpleString()
+    texts = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text"))
     table = pair_counts(texts, "text").toPandas()  # at most WIDTH^2 rows
     shared = spark.sparkContext.broadcast((table["pair"].to_numpy(np.int64), table["n"].to_numpy(np.float64)))
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = Model(*shared.value)
         for x in batches:
+            if not len(x):
+                continue
             rows = [(False, False, t) if t is None or t.isascii() else model.inspect(t) for t in x["text"]]
             yield pd.DataFrame(
                 {"doc_id": x["doc_id"], "damaged": [r[0] for r in rows], "lost": [r[1] for r in rows], "restored": [r[2] for r in rows]}
             )
 
-    kind = dict(texts.dtypes)["doc_id"]
-    return texts.mapInPandas(check, f"doc_id {kind}, damaged boolean, lost boolean, restored string")
+    return texts.mapInPandas(check, "doc_id string, damaged boolean, lost boolean, restored string").withColumn("doc_id", F.col("doc_id").cast(kind))

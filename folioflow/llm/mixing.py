@@ -119,12 +119,15 @@ def poisson_mix(
         cap = max(0, w.max_repeats)
         grid.append((w.source, float(nominal), [capped_cdf(nominal * g if nominal else 0.0, cap) for g in GRID]))
     steps = spark.createDataFrame(grid, "_src string, _rate double, _steps array<array<double>>")
+    # The record is packed, so that its columns can't clash with those of the plan.
     own = [c for c in docs.columns if c not in ("size", "copy", "position")]
-    sized = docs.select(*own, byte_size(F.col(text_col)).alias("size")).filter(F.col(id_col).isNotNull())
+    sized = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in own]).alias("_row"), F.col(id_col).alias("_id"), F.col("source").alias("_source"), byte_size(F.col(text_col)).alias("size")
+    ).filter(F.col("_id").isNotNull())
     # Calibration: one narrow pass (id, source, size), a sum for each rate.
-    narrow = sized.select(id_col, "source", "size").join(F.broadcast(steps), F.col("source") == F.col("_src"))
-    u = _uniform(id_col, seed)
-    sums = narrow.groupBy("source").agg(*[F.sum(F.col("size") * _count(u, F.col("_steps")[g])).alias(f"g{g}") for g in range(len(GRID))]).collect()
+    narrow = sized.select("_id", "_source", "size").join(F.broadcast(steps), F.col("_source") == F.col("_src"))
+    u = _uniform("_id", seed)
+    sums = narrow.groupBy(F.col("_source").alias("source")).agg(*[F.sum(F.col("size") * _count(u, F.col("_steps")[g])).alias(f"g{g}") for g in range(len(GRID))]).collect()
     realised = {r.source: [r[f"g{g}"] for g in range(len(GRID))] for r in sums}
     final = []
     for w, (source, nominal, cdfs) in zip(wanted, grid):
@@ -134,14 +137,13 @@ def poisson_mix(
     chosen = spark.createDataFrame(
         final, "_src string, rate double, _steps array<double>, target_share double, max_repeats int, own_size long, target_size double, reachable boolean"
     )
-    counted = sized.join(F.broadcast(chosen.select("_src", "_steps")), F.col("source") == F.col("_src")).withColumn("_n", _count(u, F.col("_steps")))
-    copies = counted.filter("_n > 0").select(*own, "size", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("copy"))
-    position = F.xxhash64(F.col(id_col), F.col("copy"), F.lit(seed + 1))
-    placed = copies.withColumn("position", position)
+    counted = sized.join(F.broadcast(chosen.select("_src", "_steps")), F.col("_source") == F.col("_src")).withColumn("_n", _count(u, F.col("_steps")))
+    copies = counted.filter("_n > 0").select("_row", "_id", "size", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("copy"))
+    placed = copies.withColumn("position", F.xxhash64("_id", "copy", F.lit(seed + 1)))
     parts = [shuffle_parts] if shuffle_parts else []
-    mix = placed.repartitionByRange(*parts, "position").sortWithinPartitions("position")
+    mix = placed.repartitionByRange(*parts, "position").sortWithinPartitions("position").select("_row.*", "size", "copy", "position")
     tally = (
-        counted.select("source", "size", "_n")
+        counted.select(F.col("_source").alias("source"), "size", "_n")
         .groupBy("source")
         .agg(F.sum(F.col("size") * F.col("_n")).alias("mixed_size"), F.sum("_n").alias("mixed_records"), F.max("_n").alias("most_copies"))
     )

@@ -154,7 +154,7 @@ def split_oversized(
     positions in the stripped text, the cores [core_start, end) tile it, and
     [start, core_start) is the overlap with the piece before. Null and short
     texts give no row; an empty table gives none. Repeated rows are each split.
-    Other columns are ignored, whatever their names; white space at the end of a
+    A null id stays null. Other columns are ignored, whatever their names; white space at the end of a
     piece is left out of ``piece_text``.
     """
     sizes = limits.select(
@@ -164,7 +164,7 @@ def split_oversized(
     fallback = sizes.filter(F.col("_cat") == default_category).select(F.col("_max").alias("_dmax"), F.col("_over").alias("_dover"))
     stripped = F.regexp_replace(F.col(text_col), r"^[ \t\r\n]+|[ \t\r\n]+$", "")
     large = (
-        chunks.select(F.col("id").alias("id"), stripped.alias("_text"), F.col(category_col).cast("int").alias("_section"), *keep)
+        chunks.select(F.col("id").cast("string").alias("id"), stripped.alias("_text"), F.col(category_col).cast("int").alias("_section"), *keep)
         .join(sizes, F.col("_section") == F.col("_cat"), "left")
         .join(F.broadcast(fallback), F.lit(True), "left")
         .select(
@@ -187,5 +187,6 @@ def split_oversized(
             yield flat
 
     kinds = dict(large.dtypes)
-    out = "id long, piece int, pieces int, start int, core_start int, end int, piece_text string, max_chars int"
-    return large.withColumn("id", F.col("id").cast("long")).mapInPandas(cut_up, ", ".join([out, *(f"`{c}` {kinds[c]}" for c in keep)]))
+    out = "id string, piece int, pieces int, start int, core_start int, end int, piece_text string, max_chars int"
+    pieces = large.mapInPandas(cut_up, ", ".join([out, *(f"`{c}` {kinds[c]}" for c in keep)]))
+    return pieces.withColumn("id", F.col("id").cast("long"))

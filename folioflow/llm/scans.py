@@ -61,7 +61,7 @@ _BESIDE = re.compile(
 _RUNNING = re.compile(r"^[a-z]+(?: [a-z]|$)")
 _SPACED = re.compile(r"^(?:\w\W? {1,3}){3,}\w?")
 _YEAR = re.compile(r"(?:19|20)\d\d|[’']\d\d")
-_LETTERS = re.compile(r"[^\W\d_]{2}")
+_LETTERS = re.compile(r"[^\W\d_]")
 _APART = re.compile(r"[\t|·—–]| - ")
 _ROMAN = re.compile(r"^\W*(?=[ivxlc])(?:xl|l?x{0,3})(?:ix|iv|v?i{0,3})\W*$")
 _CUT = re.compile(r"([^\W\d_]+)[-‐‑¬­][ \t]*$")
@@ -72,18 +72,20 @@ _LOW_HEAD = re.compile(r"^\w+-(?:\w\w)?\d\d\b.*\w{4}")
 _DATA = re.compile(r"\t|\S {2,}\S|\|.*\|")
 
 
-def fold(word: str) -> str:
+def fold(word: str, groups: tuple[tuple[str, str], ...] = ()) -> str:
     """The lower-case word with signs as the letters they stand for and letter groups as one letter."""
     out = "".join(SIGNS.get(c, c) for c in word)
-    for group, letter in GROUPS:
+    for group, letter in groups or GROUPS:
         out = out.replace(group, letter)
     return out
 
 
 def keys(word: str) -> list[str]:
-    """The folded word and each form of it with one letter less."""
-    f = fold(word)
-    return list({f, *(f[:k] + f[k + 1 :] for k in range(len(f)))}) if len(f) > 2 else [f]
+    """The folded word and each form of it with one letter less; groups are folded from either end of their order."""
+    out = set()
+    for f in {fold(word), fold(word, GROUPS[::-1])}:
+        out |= {f, *(f[:k] + f[k + 1 :] for k in range(len(f)))} if len(f) > 2 else {f}
+    return list(out)
 
 
 def misreading_cost(seen: str, meant: str, limit: float = 1.3) -> float:
@@ -128,7 +130,7 @@ def word_counts(texts: DataFrame, flush: int = 400_000) -> DataFrame:
         def rows() -> pd.DataFrame:
             first = [*one, *(a for a, _ in two)]
             second = [""] * len(one) + [b for _, b in two]
-            return pd.DataFrame({"first": first, "second": second, "n": [*one.values(), *two.values()]})
+            return pd.DataFrame(list(zip(first, second, [*one.values(), *two.values()])), columns=["first", "second", "n"])
 
         for x in batches:
             for t in x["text"]:
@@ -405,7 +407,7 @@ def repair_scans(chunks: DataFrame, papers: DataFrame, text_col: str = "chunk_te
     """(id, noise, repaired): every chunk with the kinds of noise found in it and its text without them.
 
     ``noise`` is a sorted array, empty for a clean chunk, whose text is kept as it
-    is. A null text stays null. Conventions are those of :func:`find_noise`.
+    is. A null text stays null, a null id likewise. Conventions are those of :func:`find_noise`.
     """
     findings, counts = find_noise(chunks, papers, text_col)
     findings = cut(findings)
@@ -425,14 +427,18 @@ def repair_scans(chunks: DataFrame, papers: DataFrame, text_col: str = "chunk_te
         .groupBy("id")
         .agg(F.sort_array(F.collect_list(F.struct("noise", "line", "a", "b", "joined"))).alias("found"), F.sort_array(F.collect_set("noise")).alias("noise"))
     )
-    texts = chunks.select(F.col("id").cast("long").alias("id"), F.col(text_col).alias("text"))
+    texts = chunks.select(F.col("id").cast("string").alias("id"), F.col(text_col).alias("text"))
 
     def mend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
+            if not len(x):
+                continue
             new = [
                 t if f is None or t is None else repair_text(t, [(r["noise"], r["line"], r["a"], r["b"], r["joined"]) for r in f])
                 for t, f in zip(x["text"], x["found"])
             ]
             yield pd.DataFrame({"id": x["id"], "noise": [[] if n is None else list(n) for n in x["noise"]], "repaired": new})
 
-    return texts.join(lists, "id", "left").mapInPandas(mend, "id long, noise array<string>, repaired string")
+    lists = lists.withColumn("id", F.col("id").cast("string"))
+    mended = texts.join(lists, "id", "left").mapInPandas(mend, "id string, noise array<string>, repaired string")
+    return mended.withColumn("id", F.col("id").cast("long"))

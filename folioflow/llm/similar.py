@@ -165,7 +165,7 @@ def _nearest(block: _Block, ids: np.ndarray, vec: np.ndarray, sub: np.ndarray, m
         place = np.arange(len(q)) - np.searchsorted(q, q, side="left")
         top = place < k
         out.append(pd.DataFrame({"id": ids[b][q[top]], "other": block.ids[m[top]], "dist": dist[top]}))
-    return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"id": [], "other": [], "dist": []})
+    return pd.concat(out, ignore_index=True) if out else pd.DataFrame([], columns=["id", "other", "dist"])
 
 
 def _cells(n: int, tables: int, cell_rows: int) -> int:
