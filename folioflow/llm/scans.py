@@ -64,9 +64,9 @@ _YEAR = re.compile(r"(?:19|20)\d\d|[’']\d\d")
 _LETTERS = re.compile(r"[^\W\d_]")
 _APART = re.compile(r"[\t|·—–]| - ")
 _ROMAN = re.compile(r"^\W*(?=[ivxlc])(?:xl|l?x{0,3})(?:ix|iv|v?i{0,3})\W*$")
-_CUT = re.compile(r"([^\W\d_]+)[-‐‑¬­][ \t]*$")
+_CUT = re.compile(r"([^\W\d_]+)[-‐‑¬­]\s*$")
 _GOES_ON = re.compile(r"^[\s>|*•]*([^\W\d_][^\W_]*)")
-_REJOIN = re.compile(r"(?<=[^\W\d_])[-‐‑¬\xad][ \t]*\n[ \t]*(?=[^\W\d_])")
+_REJOIN = re.compile(r"(?<=[^\W\d_])[-‐‑¬\xad][ \t\r]*\n[ \t]*(?=[^\W\d_])")
 #: A line that starts in lower case and still is a head: a name with its year.
 _LOW_HEAD = re.compile(r"^\w+-(?:\w\w)?\d\d\b.*\w{4}")
 _DATA = re.compile(r"\t|\S {2,}\S|\|.*\|")
@@ -250,7 +250,7 @@ def line_findings(text: str) -> tuple[list[tuple[str, int, str, str]], list[str]
         if not s or len(s) > 100:
             continue
         m = len(s) <= 24 and (_PAGE.match(s) or (len(lines) > 2 and _ROMAN.match(s)))
-        if m and s[-1] not in "),;%]" and not s.endswith("].") and s[0] not in "+(":
+        if m and s[-1] not in ",;%" and s[0] != "+" and not any(x in s for x in "()[]"):
             if table is None:
                 table = sum(bool(_DATA.search(x)) for x in lines) * 2 > len(lines)
             if not table:
@@ -273,7 +273,7 @@ def line_findings(text: str) -> tuple[list[tuple[str, int, str, str]], list[str]
         j = k + 1
         while j < len(lines) and j <= k + 5:
             g = _GOES_ON.match(lines[j])
-            if j in maybe and _LOW_HEAD.match(lines[j].strip()):
+            if j in noise or j in maybe and _LOW_HEAD.match(lines[j].strip()):
                 j += 1
                 continue
             if lines[j].strip() and g and (g.group(1)[0].islower() or j == k + 1 and j not in maybe):
