@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import BucketedRandomProjectionLSH
@@ -35,25 +36,69 @@ def search(rows: DataFrame, vector: list[float], k: int, condition: Column | Non
 
 
 def search_each(rows: DataFrame, queries: DataFrame, k: int, fields: tuple[str, ...], vec_col: str = "vectors", on: list[str] | None = None) -> DataFrame:
-    """(query_id, rank, *fields, dist): the ``k`` nearest rows of every query (query_id, query).
+    """(query_id, rank, *fields, dist): the ``k`` nearest rows of every query (query_id, query), ties by the fields.
 
     ``on`` names columns of both sides that must agree; then it is an equi-join.
-    Without it a stated query set meets all rows: the queries, a bounded block, are
-    broadcast to the scan of the rows; larger sets must be given in blocks
-    (ValueError). Top k per query is taken before the shuffle and after it.
+    Without it a stated query set meets all rows: the queries, a bounded block, go to
+    the scan of the rows; larger sets must be given in blocks (ValueError). Either way
+    each task keeps the top k per query before anything is shuffled. Null vectors, and
+    those of another length than the query, are nobody's neighbour.
     """
-    asked = queries.select("query_id", F.col("query").alias("_q"), *(on or []))
+    w = Window.partitionBy("query_id").orderBy("dist", *fields)
     if on:
-        pairs = rows.join(asked, on)
+        pairs = rows.join(queries.select("query_id", F.col("query").alias("_q"), *on), on)
+        fits = F.col(vec_col).isNotNull() & (F.size(vec_col) == F.size("_q"))
+        scored = pairs.filter(fits).select("query_id", *fields, l2(F.col(vec_col), F.col("_q")).alias("dist"))
     else:
-        if asked.limit(QUERY_LIMIT + 1).count() > QUERY_LIMIT:
+        asked = queries.filter("query is not null").select("query_id", F.col("query").cast("array<double>").alias("query")).limit(QUERY_LIMIT + 1).toPandas()
+        if len(asked) > QUERY_LIMIT:
             raise ValueError(f"give at most {QUERY_LIMIT} queries at a time")
-        pairs = rows.join(F.broadcast(asked), F.lit(True))
-    scored = pairs.filter(F.col(vec_col).isNotNull() & F.col("_q").isNotNull()).select("query_id", *fields, l2(F.col(vec_col), F.col("_q")).alias("dist"))
-    w = Window.partitionBy("query_id").orderBy("dist", *fields)
+        scored = _scan(rows, asked, queries.schema["query_id"].dataType.simpleString(), k, fields, vec_col)
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", *fields, "dist")
 
 
+def _scan(rows: DataFrame, asked: pd.DataFrame, kind: str, k: int, fields: tuple[str, ...], vec_col: str, block: int = 1024) -> DataFrame:
+    """(query_id, *fields, dist): of every batch of rows the best for each query, by matrix products.
+
+    Products only choose: whatever comes within their rounding error of a batch's
+    k-th best gets its distance from differences.
+    """
+    kinds = rows.schema
+    names = [f"_f{i}" for i in range(len(fields))]
+    schema = ", ".join([f"query_id {kind}", *(f"{n} {kinds[f].dataType.simpleString()}" for n, f in zip(names, fields)), "dist double"])
+    back = ["query_id", *[F.col(n).alias(f) for n, f in zip(names, fields)], "dist"]
+    slim = rows.select(*[F.col(f).alias(n) for n, f in zip(names, fields)], F.col(vec_col).alias("_v"))
+    if not len(asked):
+        return slim.select(F.lit(None).cast(kind).alias("query_id"), *names, F.lit(0.0).alias("dist")).filter("false").select(*back)
+    dim = len(asked["query"].iloc[0])
+    matrix = np.stack([q if len(q) == dim else np.full(dim, np.nan) for q in asked["query"]])
+    shared = rows.sparkSession.sparkContext.broadcast((asked["query_id"].to_numpy(), matrix))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, q = shared.value
+        norms = (q * q).sum(axis=1)
+        for x in batches:
+            if not len(x):
+                continue
+            v = np.stack(x["_v"].to_numpy()).astype(np.float64)
+            own = (v * v).sum(axis=1)
+            for a in range(0, len(q), block):
+                part = q[a : a + block]
+                d2 = norms[a : a + block, None] + own[None, :] - 2 * part @ v.T
+                if len(x) > k:
+                    edge = np.partition(d2, k - 1, axis=1)[:, k - 1]
+                    qi, ri = np.nonzero(d2 <= (edge + 1e-9 * (1 + np.abs(edge) + norms[a : a + block]))[:, None])
+                else:
+                    qi, ri = np.nonzero(np.isfinite(d2))
+                out = x[names].iloc[ri].reset_index(drop=True)
+                out.insert(0, "query_id", ids[a + qi])
+                out["dist"] = np.sqrt(np.square(v[ri] - part[qi]).sum(axis=1))
+                if len(out):
+                    yield out
+
+    return slim.filter(F.col("_v").isNotNull() & (F.size("_v") == dim)).mapInPandas(run, schema).select(*back)
+
+
 def first_per_document(hits: DataFrame, keys: tuple[str, ...] = (), order: tuple[str, ...] = ("dist", "doc_id", "chunk_id")) -> DataFrame:
     """Of hits that were already limited, the nearest of each document; so fewer than k may be left."""
     w = Window.partitionBy(*keys, "doc_id").orderBy(*order)
@@ -120,9 +165,11 @@ def hashing_embedding(text: Column, dim: int = 64) -> Column:
     """A deterministic embedding in the JVM: counts of hashed words, scaled to length 1; zeros without words."""
     words = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
     slots = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(dim)))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda k: (F.size(slots) - F.size(F.array_remove(slots, k.cast("long")))).cast("double"))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(counts, lambda x: F.coalesce(F.try_divide(x, norm), F.lit(0.0)).cast("float"))
+    # Bound to a variable each, as a lambda evaluates what it refers to for every element.
+    count = lambda s: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda k: (F.size(s) - F.size(F.array_remove(s, k.cast("long")))).cast("double"))
+    counts = F.transform(F.array(slots), count)[0]
+    unit = lambda c: F.transform(c, lambda x: F.coalesce(F.try_divide(x, F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, y: a + y * y))), F.lit(0.0)).cast("float"))
+    return F.transform(F.array(counts), unit)[0]
 
 
 _PROVIDERS: dict[str, Callable[..., Callable[[Column], Column]]] = {}
