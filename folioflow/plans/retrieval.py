@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folioflow import model
 from folioflow.functions import text as T
-from folioflow.operators import metrics, vectors
+from folioflow.operators import evaluation, metrics, vectors
 from folioflow.plans.registry import lines, query
 from folioflow.runtime import cut, table
 
@@ -321,3 +321,29 @@ def v14_search_and_format(spark: SparkSession, root: str) -> DataFrame:
     none = F.lit(None)
     block = T.hit_block(F.col("hit"), F.col("doc_id"), none.cast("string"), none.cast("int"), F.col("section_category"), none.cast("string"), none.cast("int"), none.cast("string"), F.col("chunk_id").cast("string"))
     return n.select("hit", block.alias("block"))
+
+
+@query("select id, case when regexp_matches(lower(question), '\\b(collect|crawl|download|scrape|fetch)\\b') then 'collect' when regexp_matches(lower(coalesce(question, '')), '^\\s*[^\\w]*\\s*$') then 'clarify' else 'search' end route from qa_pairs where not regexp_matches(coalesce(question, ''), '[^\\x00-\\x7f]')")
+def l1_routes(spark: SparkSession, root: str) -> DataFrame:
+    q = table(spark, root, "qa_pairs").filter(~F.coalesce("question", F.lit("")).rlike(r"[^\x00-\x7f]"))
+    return q.select("id", evaluation.route(F.col("question")).alias("route"))
+
+
+@query()
+def l6_e6_search_in_rounds(spark: SparkSession, root: str) -> DataFrame:
+    """Every question searched in rounds over all papers, with hashed embeddings."""
+    embed = vectors.embedder("hashing", dim=64)
+    papers = table(spark, root, "source_papers").groupBy("doc_id").agg(F.concat_ws(" ", F.min("title"), F.min("abstract")).alias("text"))
+    rows = cut(papers.withColumn("vectors", embed(F.col("text"))))
+    questions = table(spark, root, "qa_pairs").filter("question is not null and id % 20 = 0").select(F.col("id").alias("query_id"), "question")
+    return evaluation.search_in_rounds(questions, rows, embed)
+
+
+@query(
+    "with e as (select doc_id, min(title) t from source_papers where trim(pdf_url) <> '' group by doc_id) "
+    "select strategy, count(distinct c.doc_id) documents, count(distinct (c.doc_id, chunk_index)) positions from chunk_results c join e using (doc_id) where length(chunk_text) > 0 group by strategy"
+)
+def e7_prepared(spark: SparkSession, root: str) -> DataFrame:
+    ready = evaluation.prepare(table(spark, root, "source_papers"), table(spark, root, "chunk_results").withColumn("position", F.col("chunk_index")))
+    parts = [df.agg(F.count_distinct("doc_id").alias("documents"), F.count_distinct("doc_id", "position").alias("positions")).select(F.lit(s).alias("strategy"), "documents", "positions") for s, df in ready.items()]
+    return parts[0].unionByName(parts[1])
