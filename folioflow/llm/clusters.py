@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from folioflow.llm.similar import nearest_vectors, usable
 from folioflow.runtime import Kept, broadcast_within, cut
 
-#: Centres that one pass over the rows compares; more are taken in further blocks.
-CENTRE_BLOCK = 512
+#: Centres that one pass over the rows compares (4 MB at 64 components); more are taken in further passes.
+CENTRE_BLOCK = 8192
 
 
 def merge_rounds(nodes: DataFrame, edges: DataFrame, threshold: float = 0.5, slack: float = 0.12, most_rounds: int = 60) -> DataFrame:
@@ -100,15 +100,19 @@ def mean_directions(members: DataFrame, dim: int) -> DataFrame:
 def within(units: DataFrame, centres: DataFrame, bound: float) -> DataFrame:
     """(id, u, cluster, cosine): for each row the centre it is nearest to, if within ``bound``; ties by the smaller cluster.
 
-    Centres are compared in blocks of ``CENTRE_BLOCK``, each a broadcast of bounded
-    size; their number doesn't limit the method.
+    Centres are compared in blocks of about ``CENTRE_BLOCK``, drawn by hash: only one
+    block at a time is on the driver and broadcast, and their number doesn't limit the
+    method. Each block is one pass over the rows, of which only those within the
+    bound come out.
     """
-    ordered = centres.select("cluster", "centre").orderBy("cluster").toPandas()
+    centres = cut(centres.select("cluster", "centre"))
+    blocks = -(-centres.count() // CENTRE_BLOCK)
     spark = units.sparkSession
     found = []
-    for k in range(0, len(ordered), CENTRE_BLOCK):
-        block = ordered.iloc[k : k + CENTRE_BLOCK]
-        found.append(_within_block(units, spark.sparkContext.broadcast((block["cluster"].to_numpy(), np.stack(block["centre"].to_numpy()))), bound))
+    for k in range(blocks):
+        block = centres.filter(F.pmod(F.xxhash64("cluster"), F.lit(blocks)) == k).toPandas().sort_values("cluster")
+        if len(block):
+            found.append(_within_block(units, spark.sparkContext.broadcast((block["cluster"].to_numpy(), np.stack(block["centre"].to_numpy()))), bound))
     if not found:
         return units.select("id", "u", F.lit(None).cast("long").alias("cluster"), F.lit(None).cast("double").alias("cosine")).filter("false")
     if len(found) == 1:

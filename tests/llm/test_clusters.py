@@ -55,3 +55,17 @@ def test_too_little(spark, rows):
     df = spark.createDataFrame(rows, "id long, embedding array<float>")
     members, clusters = cluster_rows(df, dim=DIM)
     assert members.count() == 0 and clusters.count() == 0
+
+
+def test_blocks_of_centres_do_not_change_the_result(spark, monkeypatch):
+    from folioflow.llm import clusters as C
+
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(60, DIM))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    units = spark.createDataFrame([(k, [float(c) for c in v]) for k, v in enumerate(x)], "id long, u array<double>")
+    centres = spark.createDataFrame([(k, [float(c) for c in v]) for k, v in enumerate(x[:9])], "cluster long, centre array<double>")
+    key = lambda df: sorted((r.id, r.cluster, round(r.cosine, 9)) for r in df.collect())
+    whole = key(C.within(units, centres, 0.3))
+    monkeypatch.setattr(C, "CENTRE_BLOCK", 2)
+    assert key(C.within(units, centres, 0.3)) == whole and len(whole) >= 9
