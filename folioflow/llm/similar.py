@@ -144,8 +144,9 @@ def _nearest(block: _Block, ids: np.ndarray, vec: np.ndarray, sub: np.ndarray, m
         q, m = block.probe(sub[b], masks, code_radius, radius)
         other = block.ids[m] != ids[b][q]
         q, m = q[other], m[other]
-        # Single precision picks what is worth the double-precision distance: the
-        # margin is far above its rounding error.
+        # Single precision picks what is worth the double-precision distance. The
+        # components of a difference are exact to a rounding of their own size, so
+        # the margin is relative.
         rough = np.empty(len(q), dtype=np.float32)
         for c in range(0, len(q), 1 << 15):
             d = slice(c, c + (1 << 15))
@@ -157,9 +158,12 @@ def _nearest(block: _Block, ids: np.ndarray, vec: np.ndarray, sub: np.ndarray, m
         keep = np.ones(len(q), dtype=bool)
         for x, y in zip(edge, [*edge[1:], len(q)]):
             if y - x > k:
-                keep[x:y] = rough[x:y] <= np.partition(rough[x:y], k - 1)[k - 1] * 1.001 + 1e-6
+                keep[x:y] = rough[x:y] <= np.partition(rough[x:y], k - 1)[k - 1] * 1.0001
         q, m = q[keep], m[keep]
-        dist = np.sqrt(np.square(vec[b][q].astype(np.float64) - block.vec[m].astype(np.float64)).sum(axis=1))
+        dist = np.empty(len(q))
+        for c in range(0, len(q), 1 << 15):
+            d = slice(c, c + (1 << 15))
+            dist[d] = np.sqrt(np.square(vec[b][q[d]].astype(np.float64) - block.vec[m[d]].astype(np.float64)).sum(axis=1))
         order = np.lexsort((block.ids[m], dist, q))
         q, m, dist = q[order], m[order], dist[order]
         place = np.arange(len(q)) - np.searchsorted(q, q, side="left")
