@@ -21,7 +21,6 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -114,6 +113,7 @@ class Model:
         self.table = self.next.tolist()
         self.seen = (c > 0).tolist()
         self.memo: dict = {}
+        self.single = single_bytes()
 
     def likelihood(self, text: str) -> float:
         """Bits (negative) of the text's characters after the first, each given the one before."""
@@ -195,7 +195,7 @@ class Model:
                     found, most = (new, (wrong, "utf-8")), gain
         if found:
             return found
-        for mapping, change in single_bytes().items():
+        for mapping, change in self.single.items():
             new = "".join([change.get(c, "\x00") if c > "\x7f" else c for c in run])
             if "\x00" in new or new == run:
                 continue
@@ -285,7 +285,6 @@ def undo_bytes(run: str, wrong: str) -> str | None:
         return None
 
 
-@lru_cache(maxsize=1)
 def single_bytes() -> dict[tuple[str, str], dict[str, str]]:
     """For each pair (wrong, right) of code pages: each wrong character and the right one."""
     out = {}

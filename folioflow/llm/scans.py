@@ -23,7 +23,6 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -213,9 +212,15 @@ _FLAT = re.compile(r"[\W_]+")
 _DATED = re.compile(r"\d|proc|pr0c")
 
 
-@lru_cache(maxsize=100_000)
+_FORMS: dict[str, str] = {}  # forms of words seen by this worker
+
+
 def _word_form(word: str) -> str:
-    return head_form(word)
+    if word not in _FORMS:
+        if len(_FORMS) > 100_000:
+            _FORMS.clear()
+        _FORMS[word] = head_form(word)
+    return _FORMS[word]
 
 
 def head_name(core: str) -> str:
