@@ -1,7 +1,8 @@
 """Similarity clusters, by reciprocal-nearest-neighbour average linkage on a sparse graph.
 
-The graph joins every row with its nearest rows (:mod:`folioflow.llm.similar`).
-The linkage of two clusters is the mean cosine of the edges between them. In each
+The graph joins every distinct vector with its nearest other ones
+(:mod:`folioflow.llm.similar`); its copies are one node. The linkage of two
+clusters is the mean cosine of the edges between them. In each
 round every cluster finds its best neighbour; all mutual best pairs merge at
 once, and clusters whose best neighbour is in such a pair, with a linkage within
 ``slack`` of that pair's, merge with it. Rounds end when no linkage reaches the
@@ -162,15 +163,22 @@ def cluster_rows(
     rows = usable(df, id_col, vec_col, dim)
     length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     units = cut(rows.withColumn("l", length).select("id", F.transform("v", lambda x: x.cast("double") / F.col("l")).alias("u")))
+    # Copies are one node: among rows, a vector's own copies would take up all its edges.
+    single = F.transform("u", lambda x: x.cast("float"))
+    nodes = cut(units.groupBy(single.alias("v")).agg(F.min("id").alias("id"), F.count("*").alias("n")))
     # The graph is searched among unit vectors: the order by distance is that by cosine.
-    near = nearest_vectors(units, k=k, id_col="id", vec_col="u", dim=dim)
+    near = nearest_vectors(nodes, k=k, id_col="id", vec_col="v", dim=dim)
     edges = near.select(
         F.least("id", "neighbour").alias("a"), F.greatest("id", "neighbour").alias("b"), (1 - F.col("distance") * F.col("distance") / 2).alias("sim")
     ).dropDuplicates(["a", "b"])
-    label = merge_rounds(units.select("id"), edges, threshold)
-    sizes = label.groupBy("cluster").count().filter(F.col("count") >= least)
-    core = label.join(sizes.select("cluster"), "cluster", "left_semi")
-    members = cut(units.join(core, "id").withColumn("cosine", F.lit(None).cast("double")))
+    label = nodes.join(merge_rounds(nodes.select("id"), edges, threshold), "id")
+    sizes = label.groupBy("cluster").agg(F.sum("n").alias("rows"), F.count("*").alias("distinct")).filter(F.col("rows") >= least)
+    core = label.join(sizes, "cluster").select("v", "cluster", "distinct")
+    members = cut(units.join(core, single == F.col("v")).select("id", "u", "cluster", "distinct", F.lit(None).cast("double").alias("cosine")))
+    # A few vectors that are a core by their copies alone are none beside a cluster they belong to.
+    few = mean_directions(members.filter(F.col("distinct") < least), dim).select(F.col("cluster").alias("id"), F.col("centre").alias("u"))
+    beside = within(few, mean_directions(members.filter(F.col("distinct") >= least), dim), bound).select(F.col("id").alias("cluster"))
+    members = members.drop("distinct").join(beside, "cluster", "left_anti").select("id", "u", "cluster", "cosine")
     for _ in range(passes):
         centres = mean_directions(members, dim).filter(F.col("size") >= least)
         again = cut(within(units, centres, bound))

@@ -69,3 +69,26 @@ def test_blocks_of_centres_do_not_change_the_result(spark, monkeypatch):
     whole = key(C.within(units, centres, 0.3))
     monkeypatch.setattr(C, "CENTRE_BLOCK", 2)
     assert key(C.within(units, centres, 0.3)) == whole and len(whole) >= 9
+
+
+def test_repeated_vectors_stay_in_their_cluster(spark):
+    # Every vector is held by seven rows, more than the graph's five edges.
+    rng = np.random.default_rng(4)
+    x = np.concatenate([c + 0.18 * rng.normal(size=(n, DIM)) for c, n in zip(np.eye(DIM)[:3], (40, 25, 12))] + [rng.normal(size=(8, DIM))])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    members, clusters = cluster_rows(frame(spark, np.concatenate([x] * 7)), dim=DIM, k=5)
+    got = {}
+    for r in members.collect():
+        got.setdefault(r.cluster, set()).add(r.id)
+    large = [s for s in got.values() if len(s) >= 70]
+    assert len(large) == 3
+    for s in large:
+        mean = np.mean([x[(i - 1) % len(x)] for i in s], axis=0)
+        cosine = x @ (mean / np.linalg.norm(mean))
+        assert s == {k + 1 + c * len(x) for k in np.flatnonzero(cosine >= 0.5) for c in range(7)}
+
+
+def test_copies_alone_are_a_cluster(spark):
+    x = np.concatenate([np.repeat(np.eye(DIM)[:1], 6, axis=0), np.eye(DIM)[1:4]])
+    members, clusters = cluster_rows(frame(spark, x), dim=DIM)
+    assert {r.id for r in members.collect()} == set(range(1, 7)) and [(r["cluster"], r["size"]) for r in clusters.collect()] == [(1, 6)]
