@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -12,9 +13,9 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioflow.runtime import broadcast_within
+from folioflow.runtime import broadcast_within, cut
 
-QUERY_LIMIT = 20_000  # queries that are broadcast to the scan; more go block by block
+QUERY_LIMIT = 20_000  # queries that are broadcast to the scan at a time; more go block by block
 
 
 def l2(a: Column, b: Column) -> Column:
@@ -39,9 +40,9 @@ def search_each(rows: DataFrame, queries: DataFrame, k: int, fields: tuple[str,
     """(query_id, rank, *fields, dist): the ``k`` nearest rows of every query (query_id, query), ties by the fields.
 
     ``on`` names columns of both sides that must agree; then it is an equi-join.
-    Without it a stated query set meets all rows: the queries, a bounded block, go to
-    the scan of the rows; larger sets must be given in blocks (ValueError). Either way
-    each task keeps the top k per query before anything is shuffled. Null vectors, and
+    Without it a stated query set meets all rows: the queries go to the scan of the
+    rows in blocks of about ``QUERY_LIMIT``, drawn by hash, each one pass over the rows.
+    Either way each task keeps the top k per query before anything is shuffled. Null vectors, and
     those of another length than the query, are nobody's neighbour.
     """
     w = Window.partitionBy("query_id").orderBy("dist", *fields)
@@ -50,13 +51,25 @@ def search_each(rows: DataFrame, queries: DataFrame, k: int, fields: tuple[str,
         fits = F.col(vec_col).isNotNull() & (F.size(vec_col) == F.size("_q"))
         scored = pairs.filter(fits).select("query_id", *fields, l2(F.col(vec_col), F.col("_q")).alias("dist"))
     else:
-        asked = queries.filter("query is not null").select("query_id", F.col("query").cast("array<double>").alias("query")).limit(QUERY_LIMIT + 1).toPandas()
-        if len(asked) > QUERY_LIMIT:
-            raise ValueError(f"give at most {QUERY_LIMIT} queries at a time")
-        scored = _scan(rows, asked, queries.schema["query_id"].dataType.simpleString(), k, fields, vec_col)
+        asked = queries.filter("query is not null").select("query_id", F.col("query").cast("array<double>").alias("query"))
+        kind = queries.schema["query_id"].dataType.simpleString()
+        scored = reduce(DataFrame.unionByName, [_scan(rows, block, kind, k, fields, vec_col) for block in _blocks(asked)])
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", *fields, "dist")
 
 
+def _blocks(asked: DataFrame) -> Iterator[pd.DataFrame]:
+    """The queries in blocks for the driver, one at a time; those of one query_id come together."""
+    first = asked.limit(QUERY_LIMIT + 1).toPandas()
+    if len(first) <= QUERY_LIMIT:
+        yield first
+        return
+    del first
+    asked = cut(asked)
+    blocks = -(-asked.count() // QUERY_LIMIT)
+    for b in range(blocks):
+        yield asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toPandas()
+
+
 def _scan(rows: DataFrame, asked: pd.DataFrame, kind: str, k: int, fields: tuple[str, ...], vec_col: str, block: int = 1024) -> DataFrame:
     """(query_id, *fields, dist): of every batch of rows the best for each query, by matrix products.
 
