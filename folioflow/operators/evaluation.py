@@ -64,8 +64,8 @@ def search_in_rounds(
 
 
 def prepare(papers: DataFrame, chunks: DataFrame, strategies: tuple[str, ...] = ("paragraph", "contextual")) -> dict[str, DataFrame]:
-    """For each strategy the rows to load: exported papers' chunks, merged to size, with the text to embed."""
-    exported = store.export_papers(papers).select("doc_id", F.col("title").alias("paper_title")).dropDuplicates(["doc_id"])
+    """For each strategy the rows to load: the chunks of all papers with an address of their PDF, merged to size, with the text to embed."""
+    exported = papers.filter(store.not_blank(F.col("pdf_url"))).groupBy("doc_id").agg(F.min("title").alias("paper_title"))
     out = {}
     for s in strategies:
         own = chunks.filter(F.col("strategy") == s).join(exported, "doc_id")

@@ -50,3 +50,15 @@ def test_compare_runs_only_what_is_missing(spark):
 def test_report(spark):
     one = spark.createDataFrame([(1.0,)], "x double")
     assert evaluation.report(one, one, one, "r").head().l2_section_retrieval.x == 1.0
+
+
+def test_prepare_takes_every_paper_with_an_address(spark):
+    """More papers than an export gives; a copy and a blank address among them."""
+    ids = spark.range(10_050).select(F.format_string("d%06d", "id").alias("doc_id"))
+    papers = ids.select("doc_id", F.lit("t").alias("title"), F.when(F.col("doc_id") == "d000003", " ").otherwise("https://h.org/p").alias("pdf_url"))
+    chunks = spark.createDataFrame(
+        [(n, d, s, 0, "Some words.", "S", 1, "", 1, "c") for n, (d, s) in enumerate([("d000001", "paragraph"), ("d000003", "paragraph"), ("d010049", "paragraph"), ("d010049", "contextual")])],
+        "id long, doc_id string, strategy string, chunk_index int, chunk_text string, section_title string, section_category int, parent_section string, page_number int, contextual_prefix string",
+    )
+    ready = evaluation.prepare(papers.unionByName(papers.limit(5)), chunks)
+    assert {s: sorted(r.doc_id for r in df.select("doc_id").collect()) for s, df in ready.items()} == {"paragraph": ["d000001", "d010049"], "contextual": ["d010049"]}
