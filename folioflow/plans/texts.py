@@ -292,7 +292,7 @@ def c10_page_fallback(spark: SparkSession, root: str) -> DataFrame:
 # --- Keyword groups ---------------------------------------------------------
 
 #: Similarity from which the query lists pairs of the whole table.
-PAIR_THRESHOLD = 0.8
+PAIR_THRESHOLD = 0.1
 
 
 @query(
