@@ -161,9 +161,9 @@ def pred9_j11_o6_l5_rerank(spark: SparkSession, root: str) -> DataFrame:
 
 # --- Quality ----------------------------------------------------------------
 
-#: Questions: the first fifty vectors; expected are the documents and chunks of the same label.
+#: Questions: all vectors; expected are the documents and chunks of the same label.
 FOUND = (
-    STORE + ", q as (select vec_id query_id, v q, label l from v where vec_id < 50), "
+    STORE + ", q as (select vec_id query_id, v q, label l from v), "
     "e as (select query_id, doc_id from q join v on v.label = q.l group by all), "
     "d as (select query_id, doc_id, chunk_id, list_distance(q.q, v.v) dist from q join v on v.section_category = 0 or v.chunk_id = -1), "
     "t as (select *, row_number() over (partition by query_id order by dist, doc_id, chunk_id) r from d), "
@@ -177,8 +177,9 @@ def _paper_scores(spark: SparkSession, root: str) -> DataFrame:
     from pyspark.sql import Window
 
     s = cut(store(spark, root))
-    q = s.filter("vec_id < 50").select(F.col("vec_id").alias("query_id"), F.col("vectors").alias("query"), F.col("label").alias("l"))
-    expected = q.join(s, F.col("label") == F.col("l")).groupBy("query_id").agg(F.collect_set("doc_id").alias("expected"))
+    q = s.select(F.col("vec_id").alias("query_id"), F.col("vectors").alias("query"), F.col("label").alias("l"))
+    documents = s.groupBy(F.col("label").alias("l")).agg(F.collect_set("doc_id").alias("expected"))
+    expected = q.select("query_id", "l").join(documents, "l").select("query_id", "expected")
     scope = s.filter((F.col("section_category") == model.ABSTRACT) | (F.col("chunk_id") == -1))
     hits = vectors.first_per_document(vectors.search_each(scope, q.drop("l"), 10, ("doc_id", "chunk_id")), ("query_id",))
     hits = hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))
@@ -198,7 +199,7 @@ def a5_e1_paper_metrics(spark: SparkSession, root: str) -> DataFrame:
 
 
 CHUNKS_FOUND = (
-    STORE + ", q as (select vec_id query_id, v q, doc_id d, section_category c, label l, case section_category when 0 then 'abstract' when 1 then 'introduction' when 2 then 'method' when 3 then 'evaluation' else 'multiple' end src from v where vec_id < 300 and vec_id % 3 = 0), "
+    STORE + ", q as (select vec_id query_id, v q, doc_id d, section_category c, label l, case section_category when 0 then 'abstract' when 1 then 'introduction' when 2 then 'method' when 3 then 'evaluation' else 'multiple' end src from v), "
     "e as (select query_id, src, list_distinct(list(chunk_id)) ch from q join v on v.doc_id = q.d and v.label = q.l and v.chunk_id >= 0 group by all), "
     "h as (select query_id, chunk_id, row_number() over (partition by query_id order by list_distance(q.q, v.v), chunk_id) r from q join v on v.doc_id = q.d and (v.section_category = q.c or q.c > 3)), "
     "g as (select query_id, list_distinct(list(chunk_id)) got from h where r <= 10 and chunk_id <> -1 group by query_id), "
@@ -209,7 +210,7 @@ CHUNKS_FOUND = (
 def _chunk_scores(spark: SparkSession, root: str) -> DataFrame:
     s = cut(store(spark, root))
     src = F.when(F.col("section_category") == 0, "abstract").when(F.col("section_category") == 1, "introduction").when(F.col("section_category") == 2, "method").when(F.col("section_category") == 3, "evaluation").otherwise("multiple")
-    q = s.filter("vec_id < 300 and vec_id % 3 = 0").select(F.col("vec_id").alias("query_id"), F.col("vectors").alias("query"), "doc_id", F.col("label").alias("l"), src.alias("answer_source"))
+    q = s.select(F.col("vec_id").alias("query_id"), F.col("vectors").alias("query"), "doc_id", F.col("label").alias("l"), src.alias("answer_source"))
     q = q.withColumn("c", metrics.source_category(F.col("answer_source")))
     own = s.filter("chunk_id >= 0")
     expected = q.drop("query").join(own, "doc_id").filter("label = l").groupBy("query_id", "answer_source").agg(F.collect_set(F.col("chunk_id").cast("int")).alias("chunks"))

@@ -1,5 +1,8 @@
 """Queries that ask whole tables, against brute force without their SQL."""
 
+import numpy as np
+import pandas as pd
+
 from folioflow.plans import catalog
 
 QUERIES = catalog.queries()
@@ -11,3 +14,37 @@ def test_keyword_pairs_above_a_tenth(spark, data):
     similar = {(a, b): len(words[a] & words[b]) / len(words[a] | words[b]) for a in ids for b in ids if a < b}
     found = {(r.id1, r.id2): r.sim for r in QUERIES["j7_f37_o7_keyword_pairs"](spark, data).collect()}
     assert found == {p: round(s, 6) for p, s in similar.items() if s > 0.1} and len(found) > len(ids)
+
+
+def _store(data):
+    e = pd.read_parquet(f"{data}/embeddings.parquet").sort_values("vec_id")
+    ids, label, v = e["vec_id"].to_numpy(), e["label"].to_numpy(), np.stack(e["embedding"].to_numpy()).astype(float)
+    return ids, label, ids % 100, ids // 100 - 1, np.sqrt(np.square(v[:, None] - v[None]).sum(axis=2))
+
+
+def test_paper_scores_of_every_vector(spark, data):
+    ids, label, doc, chunk, dist = _store(data)
+    scope = np.flatnonzero((label % 7 == 0) | (chunk == -1))
+    want = {}
+    for q in range(len(ids)):
+        near = sorted(scope, key=lambda r: (dist[q, r], str(doc[r]), chunk[r]))[:10]
+        docs, e = list(dict.fromkeys(doc[near])), set(doc[label == label[q]])
+        first = next((k for k, d in enumerate(docs, 1) if d in e), None)
+        want[ids[q]] = (len(e & set(docs[:5])) / 5, round(len(e & set(docs)) / len(e), 6), round(1 / first, 6) if first else 0.0)
+    assert {r.query_id: (r.p5, r.r10, r.rr) for r in QUERIES["w2_j6_e1_paper_scores"](spark, data).collect()} == want
+    assert QUERIES["a5_e1_paper_metrics"](spark, data).head().queries == len(ids)
+
+
+def test_chunk_scores_of_every_vector(spark, data):
+    ids, label, doc, chunk, dist = _store(data)
+    section = label % 7
+    want = {}
+    for q in range(len(ids)):
+        own = doc == doc[q]
+        e = set(chunk[own & (label == label[q]) & (chunk >= 0)])
+        near = sorted(np.flatnonzero(own & ((section == section[q]) | (section[q] > 3))), key=lambda r: (dist[q, r], chunk[r]))[:10]
+        got = set(chunk[near]) - {-1}
+        if e:
+            want[ids[q]] = (round(len(e & got) / len(got), 6) if got else 0.0, round(len(e & got) / len(e), 6))
+    assert {r.query_id: (r.p, r.r) for r in QUERIES["e2_chunk_scores"](spark, data).collect()} == want and max(want) >= 300
+    assert QUERIES["a6_e2_chunk_metrics"](spark, data).head().overall_recall == round(np.mean([len_ for _, len_ in want.values()]), 6)
