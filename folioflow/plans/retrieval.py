@@ -324,10 +324,9 @@ def v14_search_and_format(spark: SparkSession, root: str) -> DataFrame:
     return n.select("hit", block.alias("block"))
 
 
-@query("select id, case when regexp_matches(lower(question), '\\b(collect|crawl|download|scrape|fetch)\\b') then 'collect' when regexp_matches(lower(coalesce(question, '')), '^\\s*[^\\w]*\\s*$') then 'clarify' else 'search' end route from qa_pairs where not regexp_matches(coalesce(question, ''), '[^\\x00-\\x7f]')")
+@query("select id, case when regexp_matches(lower(question), '\\b(collect|crawl|download|scrape|fetch)\\b') then 'collect' when regexp_matches(lower(coalesce(question, '')), '^\\s*[^\\w]*\\s*$') then 'clarify' else 'search' end route from qa_pairs")
 def l1_routes(spark: SparkSession, root: str) -> DataFrame:
-    q = table(spark, root, "qa_pairs").filter(~F.coalesce("question", F.lit("")).rlike(r"[^\x00-\x7f]"))
-    return q.select("id", evaluation.route(F.col("question")).alias("route"))
+    return table(spark, root, "qa_pairs").select("id", evaluation.route(F.col("question")).alias("route"))
 
 
 @query()

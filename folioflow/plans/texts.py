@@ -61,9 +61,9 @@ def f3_squeeze(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "documents").select("doc_id", T.squeeze(F.col("text")).alias("flat"))
 
 
-@query("select id, array_to_string(" + _sentence_sql("chunk_text") + ", chr(10)) sentences from chunk_results where chunk_text is not null and strategy = 'paragraph'")
+@query("select id, array_to_string(" + _sentence_sql("chunk_text") + ", chr(10)) sentences from chunk_results where chunk_text is not null")
 def f4_c2_sentences(spark: SparkSession, root: str) -> DataFrame:
-    c = table(spark, root, "chunk_results").filter("chunk_text is not null and strategy = 'paragraph'")
+    c = table(spark, root, "chunk_results").filter("chunk_text is not null")
     return c.select("id", F.array_join(T.sentences(F.col("chunk_text")), "\n").alias("sentences"))
 
 

@@ -48,3 +48,17 @@ def test_chunk_scores_of_every_vector(spark, data):
             want[ids[q]] = (round(len(e & got) / len(got), 6) if got else 0.0, round(len(e & got) / len(e), 6))
     assert {r.query_id: (r.p, r.r) for r in QUERIES["e2_chunk_scores"](spark, data).collect()} == want and max(want) >= 300
     assert QUERIES["a6_e2_chunk_metrics"](spark, data).head().overall_recall == round(np.mean([len_ for _, len_ in want.values()]), 6)
+
+
+def test_sentences_of_every_chunk(spark, data):
+    c = pd.read_parquet(f"{data}/chunk_results.parquet").dropna(subset=["chunk_text"])
+    found = {r.id: r.sentences for r in QUERIES["f4_c2_sentences"](spark, data).collect()}
+    assert set(found) == set(c["id"]) and set(c["strategy"]) == {"paragraph", "contextual"}
+    same = [found[i].replace("\n", " ").split() == t.split() for i, t in zip(c["id"], c["chunk_text"]) if t.isascii()]
+    assert all(same) and len(same) > 100
+
+
+def test_routes_of_questions_in_any_language(spark, tmp_path):
+    rows = [(1, "Où est l'idée ?"), (2, "Bitte crawl die Räume"), (3, " ¿ ? "), (4, "What is it?"), (5, None)]
+    spark.createDataFrame(rows, "id long, question string").write.parquet(f"{tmp_path}/qa_pairs.parquet")
+    assert {r.id: r.route for r in QUERIES["l1_routes"](spark, str(tmp_path)).collect()} == {1: "search", 2: "collect", 3: "clarify", 4: "search", 5: "clarify"}
