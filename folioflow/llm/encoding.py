@@ -32,6 +32,8 @@ WRONG = ("cp1252", "latin-1", "cp1250", "cp1251", "mac_roman", "cp437", "cp850",
 RIGHT = ("cp1252", "cp1251", "koi8_r", "cp866", "mac_roman", "cp850", "cp437", "cp1250")
 QUOTES = {"“": "”", "„": "“”", "«": "»", "»": "«", '"': '"', "'": "'", "‘": "’", "‚": "‘’", "`": "`", "‹": "›"}
 LOST = "\ufffd"
+#: Signs that stand between two letters of a word or of a pair of words.
+JOINING = "’‘–—"
 #: Characters that stand for lost ones, and control characters that no text holds.
 _GONE = re.compile("[\ufffd\x80-\x84\x86-\x9f]+")
 _CITED = re.compile("[“„«»\"'‘‚`‹]([^\x00-\x7f“”„«»‘‚`‹›]+)(?=[“”„«»\"'’‘`›])")
@@ -166,6 +168,14 @@ class Model:
         pairs = [(a, b) for a, b in zip(s, s[1:]) if a > 127 or b > 127]
         return sum(self.seen[a][b] for a, b in pairs) >= 0.6 * len(pairs)
 
+    def joins(self, joint: str, run: str) -> bool:
+        """Whether all that was changed is signs between two letters, in pairs that the corpus holds."""
+        if len(joint) != len(run) + 2 or joint[1:-1].isascii() or any((c > "\x7f") != (x in JOINING) for c, x in zip(run, joint[1:-1])):
+            return False
+        at = [k for k in range(1, len(joint) - 1) if joint[k] in JOINING]
+        s = [symbol(c) for c in joint]
+        return all(joint[k - 1].isalpha() and joint[k + 1].isalpha() and self.seen[s[k - 1]][s[k]] and self.seen[s[k]][s[k + 1]] for k in at)
+
     def quoted(self, text: str, a: int, b: int) -> bool:
         """Whether text[a:b] stands alone between intact quotation marks."""
         return 0 < a and b < len(text) and text[b] in QUOTES.get(text[a - 1], "")
@@ -201,12 +211,13 @@ class Model:
                 continue
             joint = before[-1:] + new + after[:1]
             proved = mapping in known or controls
-            if not proved and not any(x.isalpha() and y.isalpha() and not (x + y).isascii() for x, y in zip(joint, joint[1:])):
+            letters = proved or any(x.isalpha() and y.isalpha() and not (x + y).isascii() for x, y in zip(joint, joint[1:]))
+            if not letters and not self.joins(joint, run):
                 continue
             if before and self.table[symbol(before[-1])][symbol(new[0])] < -20:
                 continue
             gain = self.likelihood(before + new + after) - now
-            if gain > max(most, 1.0 if proved else 5.0) and (proved or self.attested(before[-1:] + new + after[:1])):
+            if gain > max(most, 1.0 if proved else 5.0 if letters else 8.0) and (proved or self.attested(before[-1:] + new + after[:1])):
                 found, most = (new, mapping), gain
         return found
 

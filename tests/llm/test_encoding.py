@@ -67,3 +67,9 @@ def test_operator(spark):
     assert [r.restored for r in got if r.doc_id == 900] == [FRENCH]
     assert [r.restored for r in got if r.doc_id is None] == [None]
     assert repair_encoding(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("word, right, wrong", [("doesn’t", "cp1252", "mac_roman"), ("doesn’t", "mac_roman", "cp1252")])
+def test_single_bytes_of_an_apostrophe_alone_are_restored(model, word, right, wrong):
+    text = f"The error {word} last."
+    assert model.inspect(text.encode(right).decode(wrong)) == (True, False, text)
