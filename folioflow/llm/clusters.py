@@ -1,17 +1,29 @@
 """Similarity clusters, by reciprocal-nearest-neighbour average linkage on a sparse graph.
 
 The graph joins every distinct vector with its nearest other ones
-(:mod:`folioflow.llm.similar`); its copies are one node. The linkage of two
-clusters is the mean cosine of the edges between them. In each
-round every cluster finds its best neighbour; all mutual best pairs merge at
-once, and clusters whose best neighbour is in such a pair, with a linkage within
-``slack`` of that pair's, merge with it. Rounds end when no linkage reaches the
-threshold. A round is two joins on the nodes and an aggregation of the edges,
-which shrink from round to round; its results are written to the shared folder.
-
-An exact check follows: the mean direction of every large enough cluster is
-computed, and rows belong to it whose cosine to that mean reaches the bound,
-repeated until the membership stays as it is.
+(:mod:`folioflow.llm.similar`); its copies are one node, weighted by their number.
+Every cluster keeps its number of rows and the sum of their unit vectors, so the
+linkage of two clusters, the mean cosine over *all* pairs of their rows, is the
+product of the sums over that of the numbers. The graph only says for which
+pairs of clusters it is computed. In each round every cluster finds its best
+neighbour; all mutual best pairs merge at once. A cluster follows its best neighbour
+into such a pair if it is no larger than that neighbour and their linkage is within
+``slack`` of the pair's, or else a large cluster would take one row a round (and
+without regard to size, a few loose rows would bring large clusters together).
+Rounds end when no linkage reaches the threshold. Its default is the
+square of ``bound``: a set whose rows have a mean cosine of ``bound`` to its mean
+direction has exactly that mean cosine between its rows.
+
+Sums are of whole numbers (components in steps of 2^-24), so that they don't
+depend on the order of rows. A round is four joins and two aggregations of
+tables that shrink from round to round; its results are written to the shared
+folder. A join's hot key (a large cluster's edges) meets one row on the other
+side, which adaptive execution splits.
+
+An exact check follows: rows belong to the centre they are nearest to if their
+cosine to it reaches the bound; centres are the mean directions of their rows,
+and one that lies within the bound of a larger one's gives way to it. This is
+repeated until no centre moves.
 """
 
 from __future__ import annotations
@@ -30,90 +42,85 @@ from folioflow.runtime import Kept, broadcast_within, cut
 
 #: Centres that one pass over the rows compares (4 MB at 64 components); more are taken in further passes.
 CENTRE_BLOCK = 8192
+STEP = 1 << 24  # components are summed in whole numbers of 1 / STEP
+FINE = 32767  # mean vectors are compared in whole numbers of 1 / FINE
 
 
-def merge_rounds(nodes: DataFrame, edges: DataFrame, threshold: float = 0.5, slack: float = 0.12, most_rounds: int = 60) -> DataFrame:
-    """(id, cluster): average-linkage clusters of ``nodes`` (id) under ``edges`` (a, b, sim), a < b, each once.
+def steps(x: str) -> str:
+    """A component of a unit vector in whole steps."""
+    return f"floor(({x}) * {STEP}d + 0.5d)"
 
-    ``cluster`` is the smallest id in it; nodes without an edge stay alone. Edges
-    between equal or unknown ids must not be given. ``most_rounds`` is a guard
-    against endless runs: RuntimeError if merges were still open by then.
+
+def sums_by(df: DataFrame, n: str, component: str, dim: int) -> DataFrame:
+    """(cluster, n, s): sums of ``n`` and of each ``component`` (with {i} for its place) over the rows of each cluster, combined before the shuffle."""
+    sums = df.groupBy("cluster").agg(F.expr(f"sum({n}) n"), *[F.expr(f"sum({component.format(i=i)}) s{i}") for i in range(dim)])
+    return sums.selectExpr("cluster", "n", f"array({', '.join(f's{i}' for i in range(dim))}) s")
+
+
+def directions(sums: DataFrame) -> DataFrame:
+    """(cluster, centre, size) of (cluster, n, s): centres of length 1; clusters whose vectors cancel out are left out."""
+    length = sums.selectExpr("cluster", "s", "n size", "sqrt(aggregate(s, 0d, (t, x) -> t + double(x) * double(x))) l").filter("l > 0")
+    return length.selectExpr("cluster", "transform(s, x -> x / l) centre", "size")
+
+
+def merge_rounds(nodes: DataFrame, edges: DataFrame, dim: int, threshold: float = 0.25, slack: float = 0.12, most_rounds: int = 200) -> DataFrame:
+    """(cluster, n, s): average-linkage clusters of ``nodes`` (id, n, s) under ``edges`` (a, b, sim), a < b, each once.
+
+    ``s`` is the sum of a node's n unit vectors in whole steps (:func:`steps`), ``sim`` the
+    cosine of two nodes. ``cluster`` is the id of one of its nodes; nodes without an edge
+    stay alone. Edges between equal or unknown ids must not be given.
+    ``most_rounds`` is a guard against endless runs: RuntimeError if merges were
+    still open by then.
     """
     kept = Kept(nodes.sparkSession)
-    link = kept.write(edges.groupBy("a", "b").agg(F.sum("sim").alias("s"), F.count("*").alias("c")), "link0")
-    history: DataFrame | None = None
+    state = kept.write(nodes.selectExpr("id cluster", "n", "s"), "state0")
+    link = edges.join(nodes.selectExpr("id a", "n na"), "a").join(nodes.selectExpr("id b", "n nb"), "b")
+    link = kept.write(link.selectExpr("a", "b", "sim w", "na", "nb"), "link0")
     for k in range(most_rounds):
-        both = link.select("a", "b", (F.col("s") / F.col("c")).alias("w")).filter(F.col("w") >= threshold)
-        both = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))
-        best = both.groupBy("a").agg(F.max(F.struct("w", (-F.col("b")).alias("nb"))).alias("m")).select("a", (-F.col("m.nb")).alias("b"), F.col("m.w").alias("w"))
-        mate = best.select(F.col("a").alias("b"), F.col("b").alias("bb"), F.col("w").alias("bw"))
-        pointed = best.join(mate, "b").select("a", "b", "w", "bw", (F.col("bb") == F.col("a")).alias("mutual"))
-        paired = pointed.filter("mutual").select(F.col("a").alias("b"), F.least("a", "b").alias("root"))
-        # A mutual pair takes its smaller id; a cluster near such a pair takes the pair's.
-        moves = (
-            pointed.filter(F.col("mutual") | (F.col("w") >= F.col("bw") * (1 - slack)))
-            .join(paired, "b")
-            .filter("a <> root")
-            .select("a", "root")
-        )
+        both = link.filter(f"w >= {threshold!r}").selectExpr("inline(array(struct(a, b, w, na as n), struct(b as a, a as b, w, nb as n)))")
+        best = both.groupBy("a").agg(F.expr("max(struct(w, -b as nb)) m"), F.expr("max(n) n")).selectExpr("a", "-m.nb b", "m.w w", "n")
+        pointed = best.join(best.selectExpr("a b", "b bb", "w bw", "n bn"), "b").selectExpr("a", "b", "bb = a mutual", f"w >= bw * {1 - slack!r} and n <= bn near")
+        paired = pointed.filter("mutual").selectExpr("a b", "least(a, b) root")
+        # A mutual pair takes its smaller id (which is moved to itself); a follower takes the pair's.
+        moves = pointed.filter("mutual or near").join(paired, "b").selectExpr("a cluster", "root")
         moves = kept.write(moves, f"moves{k}")
         if moves.isEmpty():
-            return _resolve(nodes, history, kept)
-        history = moves if history is None else history.unionByName(moves)
-        merged = (
-            link.join(moves.select("a", F.col("root").alias("ra")), "a", "left")
-            .join(moves.select(F.col("a").alias("b"), F.col("root").alias("rb")), "b", "left")
-            .select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"), "s", "c")
-            .filter("a <> b")
-            .groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-            .agg(F.sum("s").alias("s"), F.sum("c").alias("c"))
-        )
-        link = kept.write(merged, f"link{k + 1}")
-        kept.drop(f"link{k}")
+            return state
+        grown = state.join(moves, "cluster", "left").selectExpr("coalesce(root, cluster) cluster", "n", "s")
+        state = kept.write(sums_by(grown, "n", "s[{i}]", dim), f"state{k + 1}")
+        # Pairs of clusters that stayed as they were keep their linkage; the others get it from the new sums.
+        moved = link.join(moves.selectExpr("cluster a", "root ra"), "a", "left").join(moves.selectExpr("cluster b", "root rb"), "b", "left")
+        moved = moved.selectExpr("coalesce(ra, a) x", "coalesce(rb, b) y", "if(ra is null and rb is null, struct(w, na, nb), null) old").filter("x <> y")
+        merged = moved.groupBy(F.expr("least(x, y) a"), F.expr("greatest(x, y) b")).agg(F.expr("max(old) old"))
+        mean = f"transform(s, x -> smallint(floor(x * ({FINE}d / {STEP}d) / n + 0.5d)))"
+        merged = merged.join(state.selectExpr("cluster ca", "n na", f"{mean} ma"), F.expr("old is null and a = ca"), "left")
+        merged = merged.join(state.selectExpr("cluster cb", "n nb", f"{mean} mb"), F.expr("old is null and b = cb"), "left")
+        product = f"aggregate(zip_with(ma, mb, (p, q) -> bigint(p) * q), 0L, (t, x) -> t + x) / {FINE * FINE}d"
+        link = kept.write(merged.selectExpr("a", "b", f"coalesce(old.w, {product}) w", "coalesce(old.na, na) na", "coalesce(old.nb, nb) nb"), f"link{k + 1}")
+        for name in (f"link{k}", f"state{k}", f"moves{k}"):
+            kept.drop(name)
     raise RuntimeError(f"merges were still open after {most_rounds} rounds")
 
 
-def _resolve(nodes: DataFrame, history: DataFrame | None, kept: Kept) -> DataFrame:
-    """(id, cluster) from all moves (a, root): each cluster moved once at most, so roots are found by doubling the steps."""
-    if history is None:
-        return nodes.select("id", F.col("id").alias("cluster"))
-    jump, k = kept.write(history.coalesce(64), "jump0"), 0
-    while True:
-        k += 1
-        further = jump.join(jump.select(F.col("a").alias("root"), F.col("root").alias("next")), "root", "left")
-        after = kept.write(further.select("a", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), f"jump{k}")
-        jump = after.select("a", "root")
-        if after.filter("moved").isEmpty():
-            break
-    return nodes.join(jump.select(F.col("a").alias("id"), F.col("root")), "id", "left").select("id", F.coalesce("root", "id").alias("cluster"))
-
-
-def mean_directions(members: DataFrame, dim: int) -> DataFrame:
-    """(cluster, centre, size): centres of length 1; clusters whose vectors cancel out are left out."""
-    sums = members.groupBy("cluster").agg(F.count("*").alias("size"), *[F.sum(F.col("u")[i]).alias(f"s{i}") for i in range(dim)])
-    total = F.array(*[F.col(f"s{i}") for i in range(dim)])
-    norm = F.sqrt(F.aggregate(total, F.lit(0.0), lambda a, x: a + x * x))
-    return sums.select("cluster", "size", total.alias("t"), norm.alias("n")).filter("n > 0").select(
-        "cluster", F.transform("t", lambda x: x / F.col("n")).alias("centre"), "size"
-    )
-
-
-def within(units: DataFrame, centres: DataFrame, bound: float) -> DataFrame:
+def within(units: DataFrame, centres: DataFrame, bound: float, larger: bool = False) -> DataFrame:
     """(id, u, cluster, cosine): for each row the centre it is nearest to, if within ``bound``; ties by the smaller cluster.
 
-    Centres are compared in blocks of about ``CENTRE_BLOCK``, drawn by hash: only one
-    block at a time is on the driver and broadcast, and their number doesn't limit the
-    method. Each block is one pass over the rows, of which only those within the
-    bound come out.
+    ``larger``: the rows (id, u, size) are themselves centres, held only against those of
+    more rows or, with as many, a smaller id.
+
+    Centres (cluster, centre, size) are compared in blocks of about ``CENTRE_BLOCK``,
+    drawn by hash: only one block at a time is on the driver and broadcast, and
+    their number doesn't limit the method. Each block is one pass over the rows,
+    of which only those within the bound come out.
     """
-    centres = cut(centres.select("cluster", "centre"))
     blocks = -(-centres.count() // CENTRE_BLOCK)
     spark = units.sparkSession
     found = []
     for k in range(blocks):
         block = centres.filter(F.pmod(F.xxhash64("cluster"), F.lit(blocks)) == k).toPandas().sort_values("cluster")
         if len(block):
-            found.append(_within_block(units, spark.sparkContext.broadcast((block["cluster"].to_numpy(), np.stack(block["centre"].to_numpy()))), bound))
+            shared = spark.sparkContext.broadcast((block["cluster"].to_numpy(), np.stack(block["centre"].to_numpy()), block["size"].to_numpy()))
+            found.append(_within_block(units, shared, bound, larger))
     if not found:
         return units.select("id", "u", F.lit(None).cast("long").alias("cluster"), F.lit(None).cast("double").alias("cosine")).filter("false")
     if len(found) == 1:
@@ -123,13 +130,16 @@ def within(units: DataFrame, centres: DataFrame, bound: float) -> DataFrame:
     return every.select("id", "u", (-F.col("m.nc")).alias("cluster"), F.col("m.cosine").alias("cosine"))
 
 
-def _within_block(units: DataFrame, shared: Broadcast, bound: float) -> DataFrame:
+def _within_block(units: DataFrame, shared: Broadcast, bound: float, larger: bool) -> DataFrame:
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, centres = shared.value
+        names, centres, sizes = shared.value
         for x in batches:
             if not len(x):
                 continue
             cosine = np.stack(x["u"].to_numpy()) @ centres.T
+            if larger:
+                ids, own = x["id"].to_numpy()[:, None], x["size"].to_numpy()[:, None]
+                cosine[~((sizes > own) | ((sizes == own) & (names < ids)))] = -2
             best = cosine.argmax(axis=1)
             top = cosine[np.arange(len(x)), best]
             keep = top >= bound
@@ -144,10 +154,10 @@ def cluster_rows(
     vec_col: str = "embedding",
     dim: int = 64,
     k: int = 5,
-    threshold: float = 0.5,
     bound: float = 0.5,
+    threshold: float | None = None,
     least: int = 5,
-    passes: int = 8,
+    most_passes: int = 1000,
 ) -> tuple[DataFrame, DataFrame]:
     """(members, clusters).
 
@@ -155,45 +165,49 @@ def cluster_rows(
     rows, with the cosine to its mean direction; a row is in one cluster at most,
     rows near none are left out.
     clusters (cluster, size, typical): size and the ids of the five rows nearest to
-    the mean direction. ``cluster`` is the smallest id of the merged core.
+    the mean direction. ``cluster`` is an id of the merged core.
 
     Rows with a null id or an unusable vector are left out; copies count for
     themselves; an empty table gives two empty results; other columns are ignored.
+    Every pass of the check raises the sum of (cosine - bound) over the members or
+    lowers the number of centres, so the passes end; ``most_passes`` is a guard:
+    RuntimeError if centres still moved by then.
     """
     rows = usable(df, id_col, vec_col, dim)
     length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     units = cut(rows.withColumn("l", length).select("id", F.transform("v", lambda x: x.cast("double") / F.col("l")).alias("u")))
     # Copies are one node: among rows, a vector's own copies would take up all its edges.
-    single = F.transform("u", lambda x: x.cast("float"))
-    nodes = cut(units.groupBy(single.alias("v")).agg(F.min("id").alias("id"), F.count("*").alias("n")))
+    nodes = cut(units.groupBy(F.transform("u", lambda x: x.cast("float")).alias("v")).agg(F.min("id").alias("id"), F.count("*").alias("n")))
     # The graph is searched among unit vectors: the order by distance is that by cosine.
     near = nearest_vectors(nodes, k=k, id_col="id", vec_col="v", dim=dim)
     edges = near.select(
         F.least("id", "neighbour").alias("a"), F.greatest("id", "neighbour").alias("b"), (1 - F.col("distance") * F.col("distance") / 2).alias("sim")
     ).dropDuplicates(["a", "b"])
-    label = nodes.join(merge_rounds(nodes.select("id"), edges, threshold), "id")
-    sizes = label.groupBy("cluster").agg(F.sum("n").alias("rows"), F.count("*").alias("distinct")).filter(F.col("rows") >= least)
-    core = label.join(sizes, "cluster").select("v", "cluster", "distinct")
-    members = cut(units.join(core, single == F.col("v")).select("id", "u", "cluster", "distinct", F.lit(None).cast("double").alias("cosine")))
-    # A few vectors that are a core by their copies alone are none beside a cluster they belong to.
-    few = mean_directions(members.filter(F.col("distinct") < least), dim).select(F.col("cluster").alias("id"), F.col("centre").alias("u"))
-    beside = within(few, mean_directions(members.filter(F.col("distinct") >= least), dim), bound).select(F.col("id").alias("cluster"))
-    members = members.drop("distinct").join(beside, "cluster", "left_anti").select("id", "u", "cluster", "cosine")
-    for _ in range(passes):
-        centres = mean_directions(members, dim).filter(F.col("size") >= least)
-        again = cut(within(units, centres, bound))
-        moved = members.select("id", "cluster").join(again.select("id", F.col("cluster").alias("new")), "id", "full").filter(~F.col("cluster").eqNullSafe(F.col("new")))
-        stable = moved.isEmpty()
-        members = again
-        if stable:
-            break
-    kept = members.groupBy("cluster").agg(F.count("*").alias("size")).filter(F.col("size") >= least)
-    members = members.join(broadcast_within(kept.select("cluster"), 100_000), "cluster", "left_semi")
+    weighted = nodes.select("id", "n", F.expr(f"transform(v, x -> {steps('x')} * n) s"))
+    cores = merge_rounds(weighted, edges, dim, bound * bound if threshold is None else threshold)
+    members = _settle(units, directions(cores.filter(F.col("n") >= least)), dim, bound, least, most_passes)
     # Most typical members in two steps, so that a large cluster isn't gathered in one task.
     ranked = members.select("cluster", "id", F.struct((-F.col("cosine")).alias("w"), "id").alias("e")).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64)))
     few = ranked.groupBy("cluster", "salt").agg(F.slice(F.array_sort(F.collect_list("e")), 1, 5).alias("l"), F.count("*").alias("n"))
     clusters = few.groupBy("cluster").agg(F.sum("n").alias("size"), F.slice(F.array_sort(F.flatten(F.collect_list("l"))), 1, 5).alias("l"))
-    return members.select("id", "cluster", "cosine"), clusters.select("cluster", "size", F.transform("l", lambda e: e["id"]).alias("typical"))
+    return members, clusters.select("cluster", "size", F.transform("l", lambda e: e["id"]).alias("typical"))
+
+
+def _settle(units: DataFrame, centres: DataFrame, dim: int, bound: float, least: int, most_passes: int) -> DataFrame:
+    """(id, cluster, cosine) at the fixed point of centres and members."""
+    centres = cut(centres)
+    for _ in range(most_passes):
+        own = centres.select(F.col("cluster").alias("id"), F.col("centre").alias("u"), "size")
+        beside = within(own, centres, bound, larger=True).select(F.col("id").alias("cluster"))
+        apart = cut(centres.join(broadcast_within(cut(beside), 100_000), "cluster", "left_anti"))
+        members = within(units, apart, bound)
+        sums = sums_by(members, "1L", steps("u[{i}]"), dim)
+        again = cut(directions(sums.filter(F.col("n") >= least)))
+        moved = again.exceptAll(centres).unionByName(centres.exceptAll(again))
+        if moved.isEmpty():
+            return cut(members.select("id", "cluster", "cosine"))
+        centres = again
+    raise RuntimeError(f"centres still moved after {most_passes} passes")
 
 
 def tie_to_known(members: DataFrame, papers: DataFrame, known: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from folioflow.llm.clusters import cluster_rows, merge_rounds, tie_to_known
+from folioflow.llm.clusters import STEP, cluster_rows, merge_rounds, tie_to_known, within
 
 DIM = 16
 
@@ -29,18 +29,71 @@ def test_found_sets_are_those_of_the_definition(spark):
     assert all(sizes[c] == (len(s), 5) for c, s in got.items())
 
 
+def merged(spark, x, pairs, threshold, counts=None):
+    """{cluster: number of rows} of the rounds over unit vectors ``x`` under ``pairs`` of places from 1."""
+    x = np.asarray(x, dtype=float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    n = counts or [1] * len(x)
+    nodes = spark.createDataFrame([(i + 1, n[i], [int(round(c * STEP)) * n[i] for c in v]) for i, v in enumerate(x)], "id long, n long, s array<long>")
+    edges = spark.createDataFrame([(a, b, float(x[a - 1] @ x[b - 1])) for a, b in pairs], "a long, b long, sim double")
+    return {r["cluster"]: r["n"] for r in merge_rounds(nodes, edges, x.shape[1], threshold).collect()}
+
+
+def turned(*degrees):
+    return [[np.cos(np.radians(d)), np.sin(np.radians(d))] for d in degrees]
+
+
 def test_rounds_stop_below_the_threshold(spark):
-    nodes = spark.createDataFrame([(k,) for k in range(1, 8)], "id long")
-    edges = spark.createDataFrame([(1, 2, 0.9), (2, 3, 0.85), (3, 4, 0.3), (4, 5, 0.8), (6, 7, 0.49)], "a long, b long, sim double")
-    got = {r.id: r.cluster for r in merge_rounds(nodes, edges, 0.5).collect()}
-    assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 6, 7: 7}
+    # Cosines of neighbours: 0.95, 0.93, 0.17, 0.94; the last stands alone.
+    assert merged(spark, turned(0, 18, 40, 120, 140, 260), [(1, 2), (2, 3), (3, 4), (4, 5), (5, 6)], 0.5) == {1: 3, 4: 2, 6: 1}
+
+
+def test_linkage_is_the_mean_over_all_pairs(spark):
+    # Neighbours 1-2 and 3-4 are 10 degrees apart. 2 and 3, the only pair of the graph between them, are
+    # 50 degrees apart, the mean over all four pairs is cos 50, 60, 60, 70: 0.4962.
+    x, pairs = turned(0, 10, 60, 70), [(1, 2), (3, 4), (2, 3)]
+    assert merged(spark, x, pairs, 0.497) == {1: 2, 3: 2}
+    assert merged(spark, x, pairs, 0.496) == {1: 4}
+
+
+def test_copies_weigh_in_the_linkage(spark):
+    # With 4 held three times the mean is cos 50, 60, 3 x 60, 3 x 70: 0.4587.
+    x, pairs = turned(0, 10, 60, 70), [(1, 2), (3, 4), (2, 3)]
+    assert merged(spark, x, pairs, 0.46, [1, 1, 1, 3]) == {1: 2, 3: 4}
+    assert merged(spark, x, pairs, 0.457, [1, 1, 1, 3]) == {1: 6}
+
+
+def test_a_bridge_between_large_clusters(spark):
+    """Loose rows half-way between clusters of hundreds join nothing: sets are those of the definition."""
+    rng = np.random.default_rng(8)
+    dim, sizes = 64, (400, 300, 200)
+    centres = np.eye(dim)[:3]
+    x = [c + 0.1 * rng.normal(size=(n, dim)) for c, n in zip(centres, sizes)]
+    bridges = [(centres[0] + centres[1]) * 0.6 + 0.125 * rng.normal(size=(3, dim)), (centres[1] + centres[2]) * 0.6 + 0.125 * rng.normal(size=(3, dim))]
+    x = np.concatenate(x + bridges + [rng.normal(size=(60, dim))])
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    members, _ = cluster_rows(frame(spark, x), dim=dim)
+    got = {}
+    for r in members.collect():
+        got.setdefault(r.cluster, set()).add(r.id)
+    large = sorted((s for s in got.values() if len(s) >= 50), key=len, reverse=True)
+    assert len(large) == 3
+    for s, first, n in zip(large, (0, 400, 700), sizes):
+        assert s >= set(range(first + 1, first + n + 1)) and len(s) <= n + 6
+        mean = x[[i - 1 for i in s]].astype(float).mean(axis=0)
+        assert all(x[i - 1] @ mean / np.linalg.norm(mean) >= 0.5 for i in s)
 
 
-def test_average_linkage_keeps_apart(spark):
-    # 1-2 and 3-4 are bound; the links between are 0.7 and 0.1, on average below 0.5.
-    nodes = spark.createDataFrame([(k,) for k in range(1, 5)], "id long")
-    edges = spark.createDataFrame([(1, 2, 0.95), (3, 4, 0.95), (2, 3, 0.7), (1, 4, 0.1)], "a long, b long, sim double")
-    assert {r.id: r.cluster for r in merge_rounds(nodes, edges, 0.5).collect()} == {1: 1, 2: 1, 3: 3, 4: 3}
+def test_a_centre_beside_a_larger_one_gives_way(spark):
+    own = spark.createDataFrame([(1, [1.0, 0.0], 9), (2, [0.8, 0.6], 5), (3, [0.0, 1.0], 4), (4, [-1.0, 0.0], 9)], "cluster long, centre array<double>, size long")
+    rows = own.selectExpr("cluster id", "centre u", "size")
+    assert {(r.id, r["cluster"]) for r in within(rows, own, 0.5, larger=True).collect()} == {(2, 1), (3, 2)}
+
+
+def test_no_fixed_point_in_time(spark):
+    rng = np.random.default_rng(4)
+    with pytest.raises(RuntimeError):
+        cluster_rows(frame(spark, rng.normal(size=(40, 3))), dim=3, most_passes=0)
 
 
 def test_tie_to_known(spark):
@@ -64,7 +117,7 @@ def test_blocks_of_centres_do_not_change_the_result(spark, monkeypatch):
     x = rng.normal(size=(60, DIM))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     units = spark.createDataFrame([(k, [float(c) for c in v]) for k, v in enumerate(x)], "id long, u array<double>")
-    centres = spark.createDataFrame([(k, [float(c) for c in v]) for k, v in enumerate(x[:9])], "cluster long, centre array<double>")
+    centres = spark.createDataFrame([(k, [float(c) for c in v], 5) for k, v in enumerate(x[:9])], "cluster long, centre array<double>, size long")
     key = lambda df: sorted((r.id, r.cluster, round(r.cosine, 9)) for r in df.collect())
     whole = key(C.within(units, centres, 0.3))
     monkeypatch.setattr(C, "CENTRE_BLOCK", 2)
