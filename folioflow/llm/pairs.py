@@ -1,12 +1,13 @@
 """Broken question-answer pairs: clauses tagged by a conditional random field.
 
 An answer is cut into clauses. A chain CRF tags each as answer, refusal, echo (of
-the question), foreign (another language than the question) or unfinished; the
-share of the answer that each tag covers gives the defects of the pair.
+the question), foreign (another language than the question), unfinished or
+stand-in (for an answer); the share of the answer that each tag covers gives the
+defects of the pair.
 
 The CRF is trained here, on a bounded sample of pairs without visible defect,
 damaged in known ways: cut off, replaced by their question, by an answer to a
-question in another language, or by a refusal of a small grammar. Its features
+question in another language, by a refusal of a small grammar or by a stand-in. Its features
 are linguistic cues and corpus statistics: how often a word ends a sentence, and
 whether a last word is only the beginning of a known one. The statistics are
 counted over all pairs and reach the answers by joins on their last words.
@@ -17,8 +18,7 @@ from __future__ import annotations
 import random
 import re
 import unicodedata
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from folioflow.llm.crf import ChainCRF
 from folioflow.runtime import cut
 
-LABELS = ["answer", "refusal", "echo", "foreign", "unfinished"]
+LABELS = ["answer", "refusal", "echo", "foreign", "unfinished", "stand-in"]
 
 # Frequent function words of the five languages.
 FUNCTION_WORDS = {
@@ -94,9 +94,11 @@ def bare(answer: str) -> str:
 
 def is_empty(answer: str | None) -> bool:
     """Whether an answer is null, blank or only a stand-in."""
-    if answer is None:
-        return True
-    text = bare(answer)
+    return answer is None or stands_in(bare(answer))
+
+
+def stands_in(text: str) -> bool:
+    """Whether a text holds nothing but signs or a stand-in."""
     core = re.sub(r"^[\W_]+|[\W_]+$", "", text).lower()
     return not core or core in STAND_INS
 
@@ -149,24 +151,20 @@ _KNOWN = {k: frozenset(v) for k, v in FUNCTION_WORDS.items()}
 _DANGLES = {k: frozenset(v) for k, v in DANGLING.items()}
 
 
-def _lcs(a: list[str], b: list[str]) -> int:
-    """Length of the longest common subsequence, for short word lists."""
-    if not a or not b:
-        return 0
-    row = [0] * (len(b) + 1)
-    for x in a:
-        before = 0
-        for j, y in enumerate(b, 1):
-            before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
-    return row[-1]
-
-
 def shared(a: list[str], b: list[str]) -> int:
-    """Words that two texts share: in the same order, or, where the texts are too long for that, in any."""
-    return _lcs(a, b) if len(a) * len(b) <= 40_000 else sum((Counter(a) & Counter(b)).values())
-
-
-WIDTH = 24
+    """Length of the longest common subsequence of two word lists, bit-parallel: a long integer holds a row of the table."""
+    places: dict[str, int] = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    row = full
+    for y in b:
+        if same := row & places.get(y, 0):
+            row = ((row + same) | (row - same)) & full
+    return len(a) - row.bit_count()
+
+
+WIDTH = 25
 #: Share of a word's inner uses from which its closing uses count as established.
 CLOSING_SHARE = 0.02
 
@@ -182,6 +180,7 @@ def features(question: str, answer: str, closing: float, inner: float) -> tuple[
     mine = max(own, key=lambda k: own[k])
     x = np.zeros((len(parts), WIDTH))
     whole = words(answer)
+    nothing = stands_in(answer)
     novel = 1 - shared(whole, asked) / max(1, len(whole))
     stranger = languages(answer)
     away = max((v for k, v in stranger.items() if k != mine), default=0.0)
@@ -205,11 +204,11 @@ def features(question: str, answer: str, closing: float, inner: float) -> tuple[
         ellipsis = bool(_ELLIPSIS.search(_QUOTED.sub("x", part)))
         x[i] = [
             1.0, final, i == 0, min(len(w), 30) / 30,
-            sorry, unable and speaker, unable and task, speaker and unable and task, sorry and (unable or speaker), unable and not speaker and not sorry,
+            sorry, unable and speaker, unable and task, speaker and unable and task, sorry and speaker, unable and not speaker and not sorry,
             covers, fresh, covers >= 0.75 and fresh <= 0.25, novel <= 0.25,
             other > lang[mine], min(3.0, max(0.0, other - lang[mine])) / 3, away > stranger[mine] + 1, lang[mine] > other,
             final and not closed, final and not closed and usual, final and not closed and open_end and not complete, final and dangling and not closed,
-            final and not closed and (open_ or hanging), final and ellipsis,
+            final and not closed and (open_ or hanging), final and ellipsis, nothing,
         ]
     return parts, x
 
@@ -218,13 +217,11 @@ def features(question: str, answer: str, closing: float, inner: float) -> tuple[
 # Corpus statistics
 
 
-def word_statistics(marked: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(closings, openings) over all answers.
+def word_statistics(marked: DataFrame) -> DataFrame:
+    """(word, seen, closing) over all answers: how often a word was seen, and how often it closed.
 
-    closings (word, closing): how often a word is the last of a sentence with a stop,
-    or the last of an answer without one. openings (word, inner): how often words
-    that begin with ``word`` (or are it) stand inside sentences. Words with digits
-    open nothing.
+    ``closing``: how often the word is the last of a sentence with a stop, or the last of
+    an answer without one.
     """
     answers = marked.filter(~F.col("empty")).select("answer", "last")
     tokens = answers.select(F.explode(F.split(F.regexp_replace("answer", r"\s+", " "), " ")).alias("t"))
@@ -238,31 +235,28 @@ def word_statistics(marked: DataFrame) -> tuple[DataFrame, DataFrame]:
         .agg(F.count("*").alias("seen"), F.sum("stop").alias("stops"))
     )
     bare_ends = answers.filter("last <> ''").groupBy(F.col("last").alias("word")).agg(F.count("*").alias("bare"))
-    whole = cut(
+    return cut(
         counted.join(bare_ends, "word", "full").select(
             "word",
             F.coalesce("seen", F.lit(0)).alias("seen"),
             (F.coalesce("stops", F.lit(0)) + F.coalesce("bare", F.lit(0))).alias("closing"),
         )
     )
-    inner = whole.filter((F.col("seen") > F.col("closing")) & ~F.col("word").rlike(r"\d"))
-    openings = (
-        inner.select(
-            F.explode(F.transform(F.sequence(F.lit(1), F.length("word")), lambda n: F.substring("word", F.lit(1), n))).alias("word"),
-            (F.col("seen") - F.col("closing")).alias("inner"),
-        )
-        .groupBy("word")
-        .agg(F.sum("inner").alias("inner"))
-    )
-    return whole.select("word", "closing", (F.col("seen") > F.col("closing")).alias("known")), openings
-
-
-def _facts(wanted: DataFrame, closings: DataFrame, openings: DataFrame) -> DataFrame:
+def _facts(wanted: DataFrame, statistics: DataFrame) -> DataFrame:
     """(word, closing, inner) for the wanted words; unknown ones have 0.
 
-    ``inner`` counts tenfold for what is never a word itself inside sentences: the
-    beginning of a word must close many answers to be believed.
+    ``inner``: how often words that begin with the wanted one (or are it) stand inside
+    sentences; words with digits begin with none. It counts tenfold for what is
+    never a word itself inside sentences: the beginning of a word must close many
+    answers to be believed. Of a word's beginnings only those are formed that are
+    as long as a wanted word.
     """
+    inside = F.col("seen") > F.col("closing")
+    lengths = wanted.agg(F.collect_set(F.length("word")).alias("lengths"))
+    begun = statistics.filter(inside & ~F.col("word").rlike(r"\d")).join(F.broadcast(lengths))
+    begun = begun.select(F.explode(F.filter("lengths", lambda n: n <= F.length("word"))).alias("k"), "word", (F.col("seen") - F.col("closing")).alias("inner"))
+    openings = begun.groupBy(F.expr("substring(word, 1, k)").alias("word")).agg(F.sum("inner").alias("inner"))
+    closings = statistics.select("word", "closing", inside.alias("known"))
     return (
         wanted.join(closings, "word", "left")
         .join(openings, "word", "left")
@@ -287,9 +281,9 @@ def _marked(pairs: DataFrame, question_col: str, answer_col: str, id_col: str) -
     return raw.mapInPandas(prepare, "id string, question string, answer string, empty boolean, last string")
 
 
-def _with_statistics(marked: DataFrame, closings: DataFrame, openings: DataFrame) -> DataFrame:
+def _with_statistics(marked: DataFrame, statistics: DataFrame) -> DataFrame:
     """Adds (closing, inner) of the last word to every pair, by joins; 0 where an answer ends with a stop."""
-    facts = cut(_facts(marked.filter("last <> ''").select(F.col("last").alias("word")).distinct(), closings, openings))
+    facts = cut(_facts(marked.filter("last <> ''").select(F.col("last").alias("word")).distinct(), statistics))
     plain = marked.filter("last = ''").withColumns({"closing": F.lit(0.0), "inner": F.lit(0.0)})
     ended = marked.filter("last <> ''").join(facts.withColumnRenamed("word", "last"), "last")
     return plain.unionByName(ended.select(*plain.columns))
@@ -314,8 +308,12 @@ REFUSALS = {
 }
 
 
-def training_set(sample: pd.DataFrame, facts: dict[str, tuple[float, float]], seed: int = 3) -> tuple[list[np.ndarray], list[list[int]]]:
-    """Damaged and whole sequences. ``sample`` (question, answer): answers that close with a stop; ``facts``: (closing, inner) by last word."""
+def damaged(sample: pd.DataFrame, seed: int = 3) -> Iterator[tuple[str, str, list[int] | int, int | None]]:
+    """(question, answer, tags, last tag) of damaged and whole pairs.
+
+    ``sample`` (question, answer): answers that close with a stop. One tag holds for
+    all clauses, a list for the first ones, where the others are answers.
+    """
     rng = random.Random(seed)
     rows = list(zip(sample["question"], sample["answer"]))
     by_lang: dict[str, list[str]] = {}
@@ -327,50 +325,62 @@ def training_set(sample: pd.DataFrame, facts: dict[str, tuple[float, float]], se
         langs.append(lang)
         if max(answered, key=lambda k: answered[k]) == lang:
             by_lang.setdefault(lang, []).append(a)
-    x: list[np.ndarray] = []
-    y: list[list[int]] = []
-
-    def add(q: str, a: str, tags: list[int] | int, last_tag: int | None = None) -> None:
-        last = "" if _CLOSED.search(a) and not _ELLIPSIS.search(a) else last_word(a).lower()
-        parts, f = features(q, a, *facts.get(last, (0.0, 0.0)) if last else (0.0, 0.0))
-        if not parts:
-            return
-        labels = [tags] * len(parts) if isinstance(tags, int) else (tags + [0] * len(parts))[: len(parts)]
-        if last_tag is not None:
-            labels[-1] = last_tag
-        x.append(f)
-        y.append(labels)
-
+    stand_ins = sorted(STAND_INS)
     for (q, a), lang in zip(rows, langs):
         own = languages(a)
         if own[lang] < max(own.values()) or _APOLOGY.search(_QUOTED.sub(" ", a)):
             continue
-        add(q, a, 0)
+        yield q, a, 0, None
         if rng.random() < 0.5:  # sound without its stop
-            add(q, a.rstrip("."), 0)
-        for word in [a[: rng.randint(len(a) // 4, max(len(a) // 4 + 1, len(a) - 3))]] if len(a) > 12 else []:
-            cut_at = word.rstrip()
-            low = last_word(cut_at).lower()
-            closing, inner = facts.get(low, (0.0, 0.0))
-            if not _CLOSED.search(cut_at) and (closing < CLOSING_SHARE * inner or _HANGING.search(cut_at) or unbalanced(cut_at)):
-                add(q, cut_at, 0, 4)
+            yield q, a.rstrip("."), 0, None
+        if len(a) > 12:
+            yield q, a[: rng.randint(len(a) // 4, max(len(a) // 4 + 1, len(a) - 3))].rstrip(), 0, LABELS.index("unfinished")
         if rng.random() < 0.3:
-            add(q, rng.choice([q, q.upper(), q.rstrip("?.!"), f"  {q}\n", f"You ask: {q}", f"**{q}**", q.replace(" the ", " ", 1)]), 2)
+            yield q, rng.choice([q, q.upper(), q.rstrip("?.!"), f"  {q}\n", f"You ask: {q}", f"**{q}**", q.replace(" the ", " ", 1)]), 2, None
         if rng.random() < 0.2:
-            parts = len(clauses(q))
-            add(q, f"{q} {a}", [2] * parts)
+            yield q, f"{q} {a}", [2] * len(clauses(q)), None
         others = [k for k in by_lang if k != lang]
         if others and rng.random() < 0.4:
-            add(q, rng.choice(by_lang[rng.choice(others)]), 3)
+            yield q, rng.choice(by_lang[rng.choice(others)]), 3, None
         for _ in range(rng.randint(0, 2)):
             start, core, end = (rng.choice(part) for part in REFUSALS[lang])
             text = start + core + end
-            add(q, text[0].upper() + text[1:], 1)
+            yield q, text[0].upper() + text[1:], 1, None
+        if rng.random() < 0.15:  # regret is no refusal
+            yield q, rng.choice([o for o in REFUSALS[lang][0] if o.rstrip().endswith(",")] or [""]) + a, 0, None
+        if rng.random() < 0.1:
+            yield q, rng.choice([str, str.upper, str.capitalize])(rng.choice(stand_ins)) + rng.choice(["", "."]), LABELS.index("stand-in"), None
+
+
+def _open_word(answer: str) -> str:
+    """The last word of an answer without a stop, else nothing."""
+    return "" if _CLOSED.search(answer) and not _ELLIPSIS.search(answer) else last_word(answer).lower()
+
+
+def training_set(pairs: Iterable[tuple[str, str, list[int] | int, int | None]], facts: dict[str, tuple[float, float]]) -> tuple[list[np.ndarray], list[list[int]]]:
+    """Features and tags of :func:`damaged` pairs; ``facts``: (closing, inner) by last word.
+
+    A pair cut where it may as well end is left out.
+    """
+    x: list[np.ndarray] = []
+    y: list[list[int]] = []
+    for q, a, tags, last_tag in pairs:
+        last = _open_word(a)
+        closing, inner = facts.get(last, (0.0, 0.0)) if last else (0.0, 0.0)
+        if last_tag is not None and (_CLOSED.search(a) or not (closing < CLOSING_SHARE * inner or _HANGING.search(a) or unbalanced(a))):
+            continue
+        parts, f = features(q, a, closing, inner)
+        if not parts:
+            continue
+        labels = [tags] * len(parts) if isinstance(tags, int) else (tags + [0] * len(parts))[: len(parts)]
+        if last_tag is not None:
+            labels[-1] = last_tag
+        x.append(f)
+        y.append(labels)
     return x, y
 
 
-def _train(sample: pd.DataFrame, facts: dict[str, tuple[float, float]]) -> ChainCRF | None:
-    x, y = training_set(sample, facts)
+def _train(x: list[np.ndarray], y: list[list[int]]) -> ChainCRF | None:
     if not x:
         return None
     model = ChainCRF(LABELS, WIDTH)
@@ -378,13 +388,20 @@ def _train(sample: pd.DataFrame, facts: dict[str, tuple[float, float]]) -> Chain
     return model
 
 
-def defects(question: str, answer: str, closing: float, inner: float, model: ChainCRF) -> list[str]:
-    """The defects of a pair that isn't empty, from the shares of the answer that the tags cover."""
+def defects(question: str, answer: str, closing: float, inner: float, model: ChainCRF | None) -> list[str]:
+    """The defects of a pair, from the shares of the answer that the tags cover.
+
+    Without a model (there was no sample to train it on) only blank answers and stand-ins are known.
+    """
     parts, x = features(question, answer, closing, inner)
+    if not parts or model is None:
+        return ["empty"] if not parts or stands_in(answer) else []
     tags = [LABELS[t] for t in model.tag(x)]
     size = [max(1, len(p)) for p in parts]
     total = sum(size)
     share = {k: sum(n for t, n in zip(tags, size) if t == k) / max(1, total) for k in LABELS}
+    if share["stand-in"] == 1:
+        return ["empty"]
     # An unfinished clause belongs to what stands before it in other respects.
     rest = 1 - share["unfinished"]
     echoes = all(t == "echo" or t == "unfinished" and x[i, 11] <= 0.1 for i, t in enumerate(tags)) and x[-1, 3:].any()
@@ -425,28 +442,25 @@ def broken_pairs(pairs: DataFrame, id_col: str = "id", question_col: str = "ques
     pairs that the CRF is trained on; statistics and tags cover all.
     """
     marked = cut(_marked(pairs, question_col, answer_col, id_col))
-    closings, openings = word_statistics(marked)
-    openings = cut(openings)
-    ready = cut(_with_statistics(marked, closings, openings))
+    statistics = word_statistics(marked)
+    ready = cut(_with_statistics(marked, statistics))
     spark = pairs.sparkSession
-    closed = ready.filter((F.col("last") == "") & ~F.col("empty") & (F.length("question") > 0)).select("question", "answer").distinct()
-    sample = closed.orderBy(F.xxhash64("question", "answer")).limit(sample_rows).toPandas()
-    # What the corpus knows about the words at which the sample's answers may be cut.
-    needed = {w for a in sample["answer"] for w in words(a)}
-    needed |= {w[:k] for w in list(needed) for k in range(1, len(w))}
-    asked = spark.createDataFrame([(w,) for w in sorted(needed)] or [("",)], "word string")
-    facts = {r.word: (r.closing, r.inner) for r in _facts(asked, closings, openings).collect()}
+    # The sample: the pairs of least hash, of equal ones one.
+    closed = ready.filter((F.col("last") == "") & ~F.col("empty") & (F.length("question") > 0)).select("question", "answer", F.xxhash64("question", "answer").alias("h"))
+    drawn = closed.select("h").distinct().orderBy("h").limit(sample_rows)
+    sample = closed.join(F.broadcast(drawn), "h").dropDuplicates(["h"]).toPandas().sort_values("h", ignore_index=True)
+    known = list(damaged(sample))
+    # What the corpus knows about the words at which they end.
+    asked = spark.createDataFrame([(w,) for w in sorted({_open_word(a) for _, a, *_ in known} - {""})], "word string")
+    facts = {r.word: (r.closing, r.inner) for r in _facts(asked, statistics).collect()}
+    model = _train(*training_set(known, facts))
     kind = pairs.schema[id_col].dataType.simpleString()
-    model = _train(sample, facts)
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             out = []
-            for i, q, a, empty, e, c in zip(x["id"], x["question"], x["answer"], x["empty"], x["closing"], x["inner"]):
-                if empty:
-                    out.append((i, "empty"))
-                elif model is not None:
-                    out += [(i, d) for d in defects(q, a, e, c, model)]
+            for i, q, a, e, c in zip(x["id"], x["question"], x["answer"], x["closing"], x["inner"]):
+                out += [(i, d) for d in defects(q, a, e, c, model)]
             yield pd.DataFrame(out, columns=["id", "defect"])
 
     return ready.mapInPandas(judge, "id string, defect string").withColumn("id", F.col("id").cast(kind))

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from folioflow.llm.crf import ChainCRF
-from folioflow.llm.pairs import bare, broken_pairs, clauses, is_empty, languages, training_set, unbalanced
+from folioflow.llm.pairs import bare, broken_pairs, clauses, damaged, is_empty, languages, shared, training_set, unbalanced
 
 
 @pytest.mark.parametrize("answer", [None, "", " \t\n", "​", "\xa0", "n/a", "N/A", "null", "-", "—", "?", "...", '""', "Answer:", "<answer></answer>", "TBD", "None."])
@@ -91,14 +91,43 @@ def test_held_out_accuracy():
 
     rows = sample(400, 2)
     df = pd.DataFrame({"question": [r[1] for r in rows], "answer": [r[2] for r in rows]})
-    x, y = training_set(df.iloc[:300], {}, seed=1)
+    x, y = training_set(damaged(df.iloc[:300], seed=1), {})
     model = ChainCRF(LABELS, WIDTH)
     model.fit(x, y)
-    x, y = training_set(df.iloc[300:], {}, seed=2)
+    x, y = training_set(damaged(df.iloc[300:], seed=2), {})
     right = [t == g for a, b in zip(x, y) for t, g in zip(model.tag(a), b)]
     assert np.mean(right) > 0.95
 
 
+@pytest.mark.parametrize("n", [0, 1, 63, 199, 201, 400])
+def test_shared_words_at_any_length(n):
+    """One measure below and above what once was its limit (40,000 products): the longest common subsequence."""
+    rng = random.Random(n)
+    a, b = [rng.choice("abcdefgh") for _ in range(n)], [rng.choice("abcdefgh") for _ in range(200)]
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = 0
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
+    assert shared(a, b) == row[-1]
+    own = [str(k) for k in range(n)]
+    assert shared(own, own[::-1]) == min(n, 1) and shared(own, own) == n
+
+
+def test_long_sequences_and_words(spark):
+    """A sampled answer of thousands of clauses, and one unbroken word of a million letters."""
+    good = sample(60)
+    rows = good + [(900, good[0][1], " ".join(f"It checks part {k}." for k in range(4000))), (901, good[1][1], "x" * 1_000_000), (902, good[1][1], "n/a")]
+    got = {(r.id, r.defect) for r in broken_pairs(spark.createDataFrame(rows, "id int, question string, reference_answer string")).collect()}
+    assert (902, "empty") in got and not any(i == 900 for i, _ in got)
+
+
+def test_stand_ins_without_a_sample(spark):
+    rows = [(1, "What?", "n/a"), (2, "What?", "It holds")]
+    got = broken_pairs(spark.createDataFrame(rows, "id int, question string, reference_answer string")).collect()
+    assert [tuple(r) for r in got] == [(1, "empty")]
+
+
 def test_no_rows(spark):
     schema = "id int, question string, reference_answer string"
     assert broken_pairs(spark.createDataFrame([], schema)).count() == 0
