@@ -20,11 +20,11 @@ Only findings travel between executors, never texts, but for the repair itself.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -52,11 +52,12 @@ _SIGN = "@†¢€$|"
 TOKEN = re.compile(rf"[{_SIGN}]?[^\W_]+(?:[{_SIGN}!][^\W_]+)*[@†¢]?")
 _PAGE = re.compile(r"^\W*(?:page|seite|p\.|s\.|pág\.)?\s*(\d{1,4})(?:\s*(?:/|of|von|sur|de)\s*\d{1,4})?\W*$", re.IGNORECASE)
 _NUMBER = r"\d{1,4}(?:\s*/\s*\d{1,4})?|(?-i:[ivxlc]{1,7})"
-_BESIDE = re.compile(
-    rf"^(?:[\W_]*?(?:page\s+)?({_NUMBER})(?:\s{{2,}}|\t|\s*[|·—–]\s*|\s+-\s+)[\s|·—–-]*)?(.*?)"
-    rf"(?:(?:\s{{2,}}|\t|\s*[|·—–]\s*|\s+-\s+)[\s|·—–-]*(?:page\s+)?({_NUMBER})[\W_]*)?$",
-    re.IGNORECASE,
-)
+_BETWEEN = r"(?:\s{2,}|\t|\s*[|·—–]\s*|\s+-\s+)[\s|·—–-]*"
+_LEAD = re.compile(rf"[\W_]*?(?:page\s+)?({_NUMBER}){_BETWEEN}", re.IGNORECASE)
+_TRAIL = re.compile(rf"{_BETWEEN}(?:page\s+)?({_NUMBER})[\W_]*$", re.IGNORECASE)
+_WIDE = re.compile(r"\s{3,}")
+#: The end of a line, written backwards: at most four words.
+_END = re.compile(r"(?:[\W_]*[^\W_]+){0,4}[\W_]*")
 _RUNNING = re.compile(r"^[a-z]+(?: [a-z]|$)")
 _SPACED = re.compile(r"^(?:\w\W? {1,3}){3,}\w?")
 _YEAR = re.compile(r"(?:19|20)\d\d|[’']\d\d")
@@ -71,6 +72,9 @@ _LOW_HEAD = re.compile(r"^\w+-(?:\w\w)?\d\d\b.*\w{4}")
 _DATA = re.compile(r"\t|\S {2,}\S|\|.*\|")
 
 
+LONG = 40  # letters from which a word is filed under its ends
+
+
 def fold(word: str, groups: tuple[tuple[str, str], ...] = ()) -> str:
     """The lower-case word with signs as the letters they stand for and letter groups as one letter."""
     out = "".join(SIGNS.get(c, c) for c in word)
@@ -80,10 +84,17 @@ def fold(word: str, groups: tuple[tuple[str, str], ...] = ()) -> str:
 
 
 def keys(word: str) -> list[str]:
-    """The folded word and each form of it with one letter less; groups are folded from either end of their order."""
+    """The folded word and each form of it with one letter less; groups are folded from either end of their order.
+
+    Of long words the two ends are filed instead (near the border, as well): of two forms
+    that differ in one letter, one end agrees.
+    """
     out = set()
     for f in {fold(word), fold(word, GROUPS[::-1])}:
-        out |= {f, *(f[:k] + f[k + 1 :] for k in range(len(f)))} if len(f) > 2 else {f}
+        if len(f) < LONG + 2:
+            out |= {f, *(f[:k] + f[k + 1 :] for k in range(len(f)))} if len(f) > 2 else {f}
+        if len(f) >= LONG:
+            out |= {f"^{f[: LONG // 2]}", f"{f[-(LONG // 2) :]}$"}
     return list(out)
 
 
@@ -91,14 +102,19 @@ def misreading_cost(seen: str, meant: str, limit: float = 1.3) -> float:
     """Weighted edit distance from what was read to what was meant, infinite beyond ``limit``.
 
     Confusion pairs cost what the table says, any other replaced, lost or added letter 2.
+    What costs no more than ``limit`` stays within three places of the diagonal, and
+    nothing else is computed.
     """
     n, m = len(seen), len(meant)
     if abs(n - m) > 2:
         return float("inf")
-    d = np.full((n + 1, m + 1), np.inf).tolist()
+    if seen == meant:
+        return 0.0
+    inf, band = float("inf"), 4
+    d = [[inf] * (m + 1) for _ in range(n + 1)] if n <= LONG else [_Row() for _ in range(n + 1)]
     d[0][0] = 0.0
     for i in range(n + 1):
-        for j in range(m + 1):
+        for j in range(max(0, i - band), min(m, i + band) + 1):
             best = d[i][j]
             if i and j:
                 a, b = seen[i - 1], meant[j - 1]
@@ -112,7 +128,14 @@ def misreading_cost(seen: str, meant: str, limit: float = 1.3) -> float:
             if j:
                 best = min(best, d[i][j - 1] + 2.0)
             d[i][j] = best
-    return d[n][m] if d[n][m] <= limit else float("inf")
+    return d[n][m] if d[n][m] <= limit else inf
+
+
+class _Row(dict):
+    """A row of which only places near the diagonal are held."""
+
+    def __missing__(self, _: int) -> float:
+        return float("inf")
 
 
 # ---------------------------------------------------------------------------
@@ -162,9 +185,8 @@ def misreadings(words: DataFrame, ratio: float = 12.0, shortest: int = 3) -> Dat
             yield pd.DataFrame(rows, columns=["key", "word", "n"])
 
     odd = F.col("word").rlike(rf"[{_SIGN}!0-9ı]")
-    # Words around a digit or sign must hold letters, and not look like names of things (x86, v2, 0x1f).
-    # Nothing longer than 40 letters is taken for a word.
-    plain = words.filter(F.length("word").between(shortest, 40) & F.col("word").rlike(r"\p{L}") & ~F.col("word").rlike(r"\d.*\d.*\d|^0x|^v\d"))
+    # Words around a digit or sign must hold letters, and not look like names of things (v2, 0x1f).
+    plain = words.filter((F.length("word") >= shortest) & F.col("word").rlike(r"\p{L}") & ~F.col("word").rlike(r"^0x|^v\d"))
     filed = plain.mapInPandas(file, "key string, word string, n long")
     spread = filed.repartition("key")
     left = spread.select("key", "word", F.col("n").alias("seen"))
@@ -191,8 +213,14 @@ def misreadings(words: DataFrame, ratio: float = 12.0, shortest: int = 3) -> Dat
 def head_parts(line: str) -> tuple[str, bool]:
     """(the line without page number and ornament, whether a page number stands beside it)."""
     flat = line.strip()
-    m = _BESIDE.match(flat) if "  " in flat or _APART.search(flat) else None
-    lead, core, trail = m.groups() if m else (None, flat, None)
+    lead = trail = None
+    core = flat
+    if "  " in flat or _APART.search(flat):
+        core = _WIDE.sub("  ", flat)
+        if m := _LEAD.match(core):
+            lead, core = m.group(1), core[m.end() :]
+        if m := _TRAIL.search(core, len(core) - _END.match(core[::-1]).end()):
+            trail, core = m.group(1), core[: m.start()]
     core = core.strip(" \t|·—–-")
     if trail and len(trail) == 4 and _YEAR.match(trail) and not _YEAR.search(core):
         core, trail = f"{core} {trail}", None
@@ -209,6 +237,7 @@ def head_form(text: str) -> str:
 
 _SIGNED = str.maketrans(SIGNS)
 _FLAT = re.compile(r"[\W_]+")
+_ALNUM = re.compile(r"[^\W_]+")
 _DATED = re.compile(r"\d|proc|pr0c")
 
 
@@ -225,10 +254,16 @@ def _word_form(word: str) -> str:
 
 def head_name(core: str) -> str:
     """The form of the one word of a head line that is no usual head word, number or letter; else nothing."""
-    if len(core) > 70 or not _DATED.search(core.lower()):
+    if not _DATED.search(core.lower()):
         return ""
-    rest = [w for w in re.findall(r"[^\W_]+", core) if len(w) > 1 and not w.isdigit() and _word_form(w) not in _HEAD_FORMS]
-    return _word_form(rest[0]) if len(rest) == 1 else ""
+    found = ""
+    for m in _ALNUM.finditer(core):
+        w = m.group()
+        if len(w) > 1 and not w.isdigit() and _word_form(w) not in _HEAD_FORMS:
+            if found:
+                return ""
+            found = w
+    return _word_form(found) if found else ""
 
 
 _ALIKE = str.maketrans({"e": "c", "f": "c", "h": "b", "i": "l", "t": "l"})
@@ -237,24 +272,24 @@ _ALIKE = str.maketrans({"e": "c", "f": "c", "h": "b", "i": "l", "t": "l"})
 _HEAD_FORMS = frozenset(head_form(w) for w in HEAD_WORDS)
 
 
-def line_findings(text: str) -> tuple[list[tuple[str, int, str, str]], list[str]]:
+def line_findings(text: str, longest: float = math.inf) -> tuple[list[tuple[str, int, str, str]], list[str]]:
     """(findings, lines): (kind, line, a, b) for page numbers, cut words and candidates for heads.
 
     page_number: a is the number. hyphen_break: a and b are the halves, b's line is
     where the text goes on. head: a is the candidate's form, b tells of a number beside it
-    and of capital or spaced letters, then the form of the name in it.
+    and of capital or spaced letters, then the form of the name in it. ``longest`` is the
+    length of the longest form of a title: longer ones are no candidates unless they
+    hold a name.
     """
     lines = text.split("\n")
-    if len(lines) < 2 and len(text) > 90:
-        return [], lines
     out: list[tuple[str, int, str, str]] = []
     noise: set[int] = set()
     table: bool | None = None
     for k, line in enumerate(lines):
         s = line.strip()
-        if not s or len(s) > 100:
+        if not s:
             continue
-        m = len(s) <= 24 and (_PAGE.match(s) or (len(lines) > 2 and _ROMAN.match(s)))
+        m = _PAGE.match(s) or (len(lines) > 2 and _ROMAN.match(s))
         if m and s[-1] not in ",;%" and s[0] != "+" and not any(x in s for x in "()[]"):
             if table is None:
                 table = sum(bool(_DATA.search(x)) for x in lines) * 2 > len(lines)
@@ -267,30 +302,45 @@ def line_findings(text: str) -> tuple[list[tuple[str, int, str, str]], list[str]
         core, beside = head_parts(s)
         if len(core) >= 4:
             form = head_form(core)
-            if len(form) >= 4:
+            name = head_name(core)
+            if len(form) >= 4 and (len(form) <= longest or name):
                 spaced = core.isupper() or bool(_SPACED.match(core))
-                out.append(("head", k, form, ("n" if beside else "") + ("s" if spaced else "") + " " + head_name(core)))
+                out.append(("head", k, form, ("n" if beside else "") + ("s" if spaced else "") + " " + name))
     maybe = noise | {k for kind, k, _, _ in out if kind == "head"}
+    goes_on = _continuations(lines, noise, maybe)
     for k, line in enumerate(lines[:-1]):
         m = _CUT.search(line)
         if not m or k in noise:
             continue
         j = k + 1
-        while j < len(lines) and j <= k + 5:
-            g = _GOES_ON.match(lines[j])
-            if j in noise or j in maybe and _LOW_HEAD.match(lines[j].strip()):
-                j += 1
-                continue
-            if lines[j].strip() and g and (g.group(1)[0].islower() or j == k + 1 and j not in maybe):
-                if g.group(1).lower() not in HANGING:
-                    out.append(("hyphen_break", k, m.group(1), f"{j} {g.group(1)}"))
-                break
-            if lines[j].strip() and j not in maybe:
-                break
-            j += 1
+        g = _GOES_ON.match(lines[j]) if lines[j].strip() and not _stands_between(lines, j, noise, maybe) else None
+        if not (g and (g.group(1)[0].islower() or j not in maybe)):
+            # The next line is a word's second half in capitals, or something between the halves, or neither.
+            j = goes_on[j]
+            g = _GOES_ON.match(lines[j]) if j is not None else None
+        if g and g.group(1).lower() not in HANGING:
+            out.append(("hyphen_break", k, m.group(1), f"{j} {g.group(1)}"))
     return out, lines
 
 
+def _stands_between(lines: list[str], j: int, noise: set[int], maybe: set[int]) -> bool:
+    return j in noise or j in maybe and bool(_LOW_HEAD.match(lines[j].strip()))
+
+
+def _continuations(lines: list[str], noise: set[int], maybe: set[int]) -> list[int | None]:
+    """For each line the first one from it on that goes on in lower case, if only blank lines and noise stand before it."""
+    out: list[int | None] = [None] * (len(lines) + 1)
+    for j in range(len(lines) - 1, -1, -1):
+        s = lines[j].strip()
+        if not s or _stands_between(lines, j, noise, maybe):
+            out[j] = out[j + 1]
+        elif (g := _GOES_ON.match(lines[j])) and g.group(1)[0].islower():
+            out[j] = j
+        else:
+            out[j] = out[j + 1] if j in maybe else None
+    return out
+
+
 def find_noise(
     chunks: DataFrame, papers: DataFrame, text_col: str = "chunk_text", common_words: int = 20_000, ratio: float = 12.0
 ) -> tuple[DataFrame, DataFrame]:
@@ -317,12 +367,18 @@ def find_noise(
     usual = words.join(wrong.select("word"), "word", "left_anti").orderBy(F.desc("n"), "word").limit(common_words).select("word").toPandas()
     skip = spark.sparkContext.broadcast(frozenset(usual["word"]))
 
+    # Heads are held against titles and names further below; their longest form bounds what can be one.
+    forms = F.pandas_udf(lambda s: s.map(lambda t: head_form(t) if t else ""), "string")
+    titles = papers.filter("doc_id is not null and trim(title) <> ''").select("doc_id", "title").distinct()
+    titles = cut(titles.select("doc_id", forms("title").alias("full"), forms(F.regexp_extract("title", r"^([^:]+):", 1)).alias("short")).distinct())
+    longest = titles.agg(F.coalesce(F.max(F.length("full")), F.lit(0))).head()[0]
+
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = skip.value
         for x in batches:
             rows = []
             for i, doc, t in zip(x["id"], x["doc_id"], x["text"]):
-                found = line_findings(t)[0] if "\n" in t or len(t) <= 90 else []
+                found = line_findings(t, longest)[0]
                 halves = set()
                 for kind, k, a, b in found:
                     rows.append((i, doc, kind, k, a, b, ""))
@@ -340,9 +396,6 @@ def find_noise(
     plain = raw.filter("kind in ('page_number', 'hyphen_break')").select("id", F.col("kind").alias("noise"), "line", "a", "b")
     # Heads: the form begins a title of the paper, or names a conference.
     heads = raw.filter("kind = 'head'").select("id", "doc_id", "line", F.col("a").alias("form"), "b")
-    forms = F.pandas_udf(lambda s: s.map(lambda t: head_form(t) if t else ""), "string")
-    titles = papers.filter("doc_id is not null and trim(title) <> ''").select("doc_id", "title").distinct()
-    titles = titles.select("doc_id", forms("title").alias("full"), forms(F.regexp_extract("title", r"^([^:]+):", 1)).alias("short")).distinct()
     heads = cut(heads)
     by_title = heads.join(titles, "doc_id").filter(
         (F.length("form") >= 8) & F.col("full").startswith(F.col("form")) | (F.col("form") == F.col("short")) & F.col("b").rlike("^n?s")
