@@ -53,11 +53,10 @@ def rate_for(mean: float, cap: int) -> float:
 
 
 def plan_shares(docs: DataFrame, plan: DataFrame, fraction: float = 0.8, text_col: str = "text") -> DataFrame:
-    """(source, target_share, max_repeats, own_size, target_size, reachable): what the plan asks of each source.
+    """(source, target_share, max_repeats, own_size, target_size): what the plan asks of each source.
 
-    The mix is to have ``fraction`` of the summed size of all documents. A source
-    is reachable unless max_repeats times its own size is below its target; a
-    planned source without documents has size 0. Documents with a null source
+    The mix is to have ``fraction`` of the summed size of all documents; a planned
+    source without documents has size 0. Documents with a null source
     count for the total only. A source planned twice, with a null share or a null
     cap keeps its first row by (share, cap), nulls as 0.
     """
@@ -79,7 +78,6 @@ def plan_shares(docs: DataFrame, plan: DataFrame, fraction: float = 0.8, text_co
             F.coalesce("own", F.lit(0)).cast("long").alias("own_size"),
             (F.col("target_share") * fraction * F.col("total")).alias("target_size"),
         )
-        .withColumn("reachable", ~(F.col("max_repeats") * F.col("own_size") < F.col("target_size")))
     )
 
 
@@ -100,8 +98,10 @@ def poisson_mix(
     of a record; ``copy`` counts from 1, never beyond max_repeats; rows come in the
     global random order of ``position``, a hash of id, copy and seed. A column of
     these names in ``docs`` is replaced.
-    report: the columns of :func:`plan_shares` plus (rate, mixed_size, mixed_records,
-    actual_share, most_copies).
+    report: the columns of :func:`plan_shares` plus (reachable, rate, mixed_size,
+    mixed_records, actual_share, most_copies). A source is not reachable if no finite
+    rate has the wanted mean and what is drawn without one, every record to its cap,
+    stays below the target.
 
     Records of unplanned or null sources and with a null id are left out; unreachable
     sources are used max_repeats times throughout and fall short, as reported. Rows
@@ -114,9 +114,9 @@ def poisson_mix(
     spark = docs.sparkSession
     grid = []
     for w in wanted:
-        mean = w.target_size / w.own_size if w.own_size else 0.0
-        nominal = rate_for(mean, w.max_repeats)
+        mean = w.target_size / w.own_size if w.own_size else math.inf if w.target_size > 0 else 0.0
         cap = max(0, w.max_repeats)
+        nominal = math.inf if mean > 0 and not cap else rate_for(mean, cap)
         grid.append((w.source, float(nominal), [capped_cdf(nominal * g if nominal else 0.0, cap) for g in GRID]))
     steps = spark.createDataFrame(grid, "_src string, _rate double, _steps array<array<double>>")
     # The record is packed, so that its columns can't clash with those of the plan.
@@ -133,7 +133,8 @@ def poisson_mix(
     for w, (source, nominal, cdfs) in zip(wanted, grid):
         got = realised.get(source, [0] * len(GRID))
         g = min(range(len(GRID)), key=lambda i: (abs(got[i] - w.target_size), abs(GRID[i] - 1)))
-        final.append((source, nominal * GRID[g] if nominal else 0.0, cdfs[g], w.target_share, w.max_repeats, w.own_size, w.target_size, w.reachable))
+        reachable = not (math.isinf(nominal) and got[g] < w.target_size)
+        final.append((source, nominal * GRID[g] if nominal else 0.0, cdfs[g], w.target_share, w.max_repeats, w.own_size, w.target_size, reachable))
     chosen = spark.createDataFrame(
         final, "_src string, rate double, _steps array<double>, target_share double, max_repeats int, own_size long, target_size double, reachable boolean"
     )

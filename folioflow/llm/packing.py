@@ -124,11 +124,16 @@ class _Bins:
                         best = (t - s, [mine[x][1], mine[y][1]], [i] * (i >= 0))
                     x += 1
         if best[0] < gap and len(theirs) > 1:  # one of low for two of b
-            sums = [(u[0] + v[0], u[1], v[1]) for k, u in enumerate(theirs) for v in theirs[k + 1 :]] if len(theirs) <= 40 else []
-            for t, u, v in sums:
-                p = bisect_right(mine, (t + gap, math.inf))
-                if p and mine[p - 1][0] - t > best[0]:
-                    best = (mine[p - 1][0] - t, [mine[p - 1][1]], [u, v])
+            for s, i in mine:
+                x, y = 0, len(theirs) - 1
+                while x < y:
+                    t = theirs[x][0] + theirs[y][0]
+                    if t < s - gap:
+                        x += 1
+                        continue
+                    if s - t > best[0]:
+                        best = (s - t, [i], [theirs[x][1], theirs[y][1]])
+                    y -= 1
         gain, out, back = best
         if not gain:
             return False

@@ -62,3 +62,15 @@ def test_operator(spark):
     assert pack_documents(docs.limit(0), specs).count() == 0 and pack_documents(docs, specs.limit(0)).count() == 0
     with pytest.raises(ValueError):
         pack_documents(docs, spark.createDataFrame([(1, 4)], "spec_id int, capacity int"))
+
+
+@pytest.mark.parametrize("n", [39, 40, 41, 200])
+def test_two_of_a_large_container_for_one(n):
+    """An exchange of one item for two, whatever the number of items in the container."""
+    from folioflow.llm.packing import _Bins
+
+    # The full one lacks 3; only 12 for 4 + 5 fills it.
+    size = [4, 5] + [100] * (n - 2) + [12]
+    bins = _Bins(size, sum(size[:n]) + 3)
+    bins.items, bins.free = [list(range(n)), [n]], [3, bins.capacity - 12]
+    assert bins._step(1, 0) and bins.free[0] == 0 and sorted(bins.items[1]) == [0, 1]
