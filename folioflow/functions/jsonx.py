@@ -7,7 +7,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 FENCE = "```"
@@ -196,3 +196,15 @@ def qa_rows(response: Column) -> Column:
         return objects(t)
 
     return F.pandas_udf(_series(parse), "array<string>")(response)
+
+
+def register_objects(spark: SparkSession, name: str = "json_objects", key: str = "question") -> str:
+    """Registers a table function (text) -> object: the objects with ``key`` in a text, for lateral joins in SQL."""
+
+    class Objects:
+        def eval(self, text: str) -> Iterator[tuple[str]]:
+            for found in objects(text or "", key):
+                yield (found,)
+
+    spark.udtf.register(name, F.udtf(Objects, returnType="object string"))
+    return name

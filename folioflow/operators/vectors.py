@@ -8,7 +8,6 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -153,15 +152,45 @@ def search_ivf(indexed: DataFrame, model: KMeansModel, queries: DataFrame, k: in
     return search_each(indexed, probes, k, fields, vec_col, on=["cell"])
 
 
-def search_lsh(rows: DataFrame, queries: DataFrame, k: int, fields: tuple[str, ...], radius: float = 1.2, tables: int = 6, width: float = 0.8, vec_col: str = "vectors", seed: int = 1) -> DataFrame:
-    """Approximate neighbours by random projections; stands in for a graph index, whose walk isn't a plan of joins."""
-    lsh = BucketedRandomProjectionLSH(inputCol="_v", outputCol="_h", bucketLength=width, numHashTables=tables, seed=seed)
-    a = rows.select(*fields, F.col(vec_col).alias("_raw"), array_to_vector(F.col(vec_col).cast("array<double>")).alias("_v"))
-    b = queries.select("query_id", array_to_vector(F.col("query").cast("array<double>")).alias("_v"))
-    pairs = lsh.fit(a).approxSimilarityJoin(b, a, radius, "dist")
-    flat = pairs.select(F.col("datasetA.query_id").alias("query_id"), *[F.col(f"datasetB.{f}").alias(f) for f in fields], "dist")
+def sign_keys(vector: Column, tables: int, bits: int, seed: int = 1) -> Column:
+    """For each table the signs of ``bits`` random projections, as a number; null for null vectors."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        planes: dict[int, np.ndarray] = {}
+        for s in batches:
+            out = pd.Series([None] * len(s), index=s.index, dtype=object)
+            length = s.map(lambda v: -1 if v is None else len(v))
+            for dim in length[length > 0].unique():
+                if dim not in planes:
+                    planes[dim] = np.random.default_rng(seed).normal(size=(dim, tables * bits))
+                at = s.index[length == dim]
+                signs = (np.stack(s[at].to_numpy()).astype(np.float64) @ planes[dim] >= 0).reshape(len(at), tables, bits)
+                for i, keys in zip(at, signs @ (1 << np.arange(bits))):
+                    out[i] = keys
+            yield out
+
+    return F.pandas_udf(run, "array<long>")(vector)
+
+
+def search_lsh(
+    rows: DataFrame, queries: DataFrame, k: int, fields: tuple[str, ...], tables: int = 32, bits: int = 12, vec_col: str = "vectors", seed: int = 1, salts: int = 8
+) -> DataFrame:
+    """Approximate neighbours by buckets of random projections; stands in for a graph index, whose walk isn't a plan of joins.
+
+    ``fields`` must name a row. A query probes, in each table, the bucket of its signs and
+    those that differ in one. Buckets are spread over ``salts`` parts of the rows, each
+    of which meets the bucket's queries. Only keys travel until the pairs are known,
+    each once; then the vectors of both sides are joined to them.
+    """
+    own = rows.filter(F.col(vec_col).isNotNull()).select(*fields, F.col(vec_col).alias("_v"))
+    filed = own.select(*fields, F.posexplode(sign_keys(F.col("_v"), tables, bits, seed)).alias("_t", "_key"), F.pmod(F.xxhash64(*fields), F.lit(salts)).alias("_salt"))
+    flips = F.array(*[F.lit(x).cast("long") for x in (0, *(1 << b for b in range(bits)))])
+    asking = queries.filter("query is not null").select("query_id", F.posexplode(sign_keys(F.col("query"), tables, bits, seed)).alias("_t", "_own"))
+    probes = asking.select("query_id", "_t", "_own", F.explode(flips).alias("_flip")).select("query_id", "_t", F.col("_own").bitwiseXOR(F.col("_flip")).alias("_key"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("_salt"))
+    pairs = filed.join(probes, ["_t", "_key", "_salt"]).select("query_id", *fields).distinct()
+    scored = pairs.join(own, list(fields)).join(queries.select("query_id", "query"), "query_id").filter(F.size("_v") == F.size("query")).select("query_id", *fields, l2(F.col("_v"), F.col("query")).alias("dist"))
     w = Window.partitionBy("query_id").orderBy("dist", *fields)
-    return flat.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", *fields, "dist")
+    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", *fields, "dist")
 
 
 def recall(found: DataFrame, exact: DataFrame, key: str) -> DataFrame:
@@ -227,5 +256,5 @@ def _function(encode: Callable[[list[str]], list[list[float]]]) -> Callable[[Col
 
 __all__ = [
     "array_to_vector", "best_of_documents", "broadcast_within", "build_ivf", "embedder", "first_per_document", "hashing_embedding", "l2", "l2_squared",
-    "provider", "providers", "recall", "search", "search_each", "search_ivf", "search_lsh", "vector_to_array",
+    "provider", "providers", "recall", "search", "search_each", "search_ivf", "search_lsh", "sign_keys", "vector_to_array",
 ]

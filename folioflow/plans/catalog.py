@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioflow.plans import corpus, records, retrieval, texts  # noqa: F401  (they register their queries)
+from folioflow.plans import corpus, documents, records, retrieval, texts  # noqa: F401  (they register their queries)
 from folioflow.plans.registry import QUERIES, SQL, Query
 
 

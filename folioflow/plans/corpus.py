@@ -181,11 +181,18 @@ def s27_j5_j17_resume(spark: SparkSession, root: str) -> DataFrame:
     return store.missing(metrics.experiment_grid(spark), done, ["name"]).select("name")
 
 
-@query("select distinct conference_name, case when conference_name = 'CRYSEC' then 'article h2' else 'h1' end selector from source_papers where conference_name is not null")
+@query(
+    "with a as (select distinct conference_name from source_papers where conference_name is not null) "
+    "select conference_name, case when conference_name < 'M' then 'article h2' else 'h1' end selector from a"
+)
 def s28_selector_cache(spark: SparkSession, root: str) -> DataFrame:
-    cached = lines(spark, [("CRYSEC", "article h2")], "conference_name string, cached string")
+    """Selectors of all conferences from files: what isn't kept yet is made, written beside the rest and read again."""
+    at = f"{scratch(spark)}/selectors"
     conf = table(spark, root, "source_papers").select("conference_name").filter("conference_name is not null").distinct()
-    return conf.join(F.broadcast(cached), "conference_name", "left").select("conference_name", F.coalesce("cached", F.lit("h1")).alias("selector"))
+    files.write_jsonl(conf.filter("conference_name < 'M'").withColumn("selector", F.lit("article h2")), at)
+    kept = lambda: spark.read.schema("conference_name string, selector string").json(at)
+    files.write_jsonl(store.missing(conf, kept(), ["conference_name"]).withColumn("selector", F.lit("h1")), at, "append")
+    return conf.join(kept(), "conference_name").select("conference_name", "selector")
 
 
 # --- Predicates -------------------------------------------------------------

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from folioflow.functions import html, jsonx, scores
 from folioflow.operators import traces
 from folioflow.plans.registry import lines, query, scratch
-from folioflow.runtime import shared_dir, table
+from folioflow.runtime import table
 from folioflow.sources.synthetic import synthetic_pages
 from folioflow.streaming import flows
 
@@ -183,7 +183,7 @@ def f36_chat_roles(spark: SparkSession, root: str) -> DataFrame:
 
 
 @query("select event_type, count(*) n, count(*) filter (where props is not null) with_props, round(avg(value), 6) mean from events group by 1")
-def l9_trace_statistics(spark: SparkSession, root: str) -> DataFrame:
+def x_event_statistics(spark: SparkSession, root: str) -> DataFrame:
     e = table(spark, root, "events")
     return e.groupBy("event_type").agg(F.count("*").alias("n"), F.count("props").alias("with_props"), F.round(F.avg("value"), 6).alias("mean"))
 
@@ -260,6 +260,17 @@ def h6_h7_a11_verified(spark: SparkSession, root: str) -> DataFrame:
     return v.select("page_id", "item_selector", "n_items", F.round(points, 6).alias("score"), ((F.col("n_items") >= 5) & (rate("title_hits") >= 0.6)).alias("ok"))
 
 
+@query()
+def l9_selector_traces(spark: SparkSession, root: str) -> DataFrame:
+    """A selector run over every listing page, as the steps of its trace: read the page, propose an item selector, verify it."""
+    pages = _listing(spark, root)
+    v = html.verified(pages, '{"title": "h2", "abstract": "p.abstract", "link": "h2 a"}').join(pages.select("page_id", F.length("html").alias("size")), "page_id")
+    ok = (F.col("n_items") >= 5) & (F.col("title_hits") >= 0.6 * F.col("n_items"))
+    step = lambda n, name, args, out: F.struct(F.lit(n).alias("step_idx"), F.lit(name).alias("tool_name"), args.cast("string").alias("tool_args"), out.cast("string").alias("tool_output"))
+    steps = F.array(step(1, "read_page", F.col("page_id"), F.col("size")), step(2, "propose_items", F.lit("h2"), F.col("item_selector")), step(3, "verify", F.col("item_selector"), ok))
+    return v.select("page_id", F.inline(steps))
+
+
 # --- Streams ----------------------------------------------------------------
 
 WINDOWS = "select time_bucket(interval '1 hour', ts) start, event_type, count(*) events, round(sum(value), 4) total from events group by all"
@@ -278,10 +289,11 @@ def x_windowed_stream(spark: SparkSession, root: str) -> DataFrame:
     source.write.parquet(f"{at}/events")
     events = spark.readStream.schema(source.schema).parquet(f"{at}/events")
     counts = flows.windowed_counts(events.withColumn("ts", F.col("ts").cast("timestamp")), late="100 days").withColumn("start", F.col("start").cast("timestamp_ntz"))
-    name = f"counts_{at.rsplit('-', 1)[1][:8]}"
-    q = counts.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{shared_dir(spark)}/{name}").trigger(availableNow=True).start()
+    # Every batch replaces the counts in a table on shared storage.
+    keep = lambda rows, _: rows.write.mode("overwrite").parquet(f"{at}/counts")
+    q = counts.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name).withColumn("total", F.round("total", 4))
+    return spark.read.schema(counts.schema).parquet(f"{at}/counts").withColumn("total", F.round("total", 4))
 
 
 @query(

@@ -35,13 +35,16 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder for checkpoints.
 
     It is the one named in ``spark.checkpoint.dir``; only where that is unset
-    and no checkpoint folder was chosen (a local session, as in tests) a
-    temporary one is made, and removed at exit.
+    and no checkpoint folder was chosen, in a local session as in tests, a
+    temporary one is made, and removed at exit. On a cluster, whose machines
+    don't share one, that raises RuntimeError.
     """
     jsc = spark.sparkContext._jsc.sc()
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if jsc.getCheckpointDir().isEmpty():
         if configured is None:
+            if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
             configured = tempfile.mkdtemp(prefix="folioflow-ckpt-")
             atexit.register(shutil.rmtree, configured, True)
         spark.sparkContext.setCheckpointDir(configured)
