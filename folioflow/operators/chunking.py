@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow import model
 from folioflow.functions import text as T
+from folioflow.runtime import cut
 
 CHUNK_SIZE, OVERLAP, LEAST = 800, 100, 100
 
@@ -20,35 +24,58 @@ def overlap_tail(parts: Column, target: int = OVERLAP) -> Column:
     return F.aggregate(F.reverse(parts), start, step)["kept"]
 
 
+def _merged(parts: list[str], size: int, overlap: int, least: int) -> list[str]:
+    done: list[str] = []
+    cur: list[str] = []
+    n = 0
+    for s in parts:
+        if cur and n + len(s) > size:
+            done.append(" ".join(cur))
+            first, tail = len(cur), 0
+            while first and (tail < overlap or first == len(cur)):
+                first -= 1
+                tail += len(cur[first]) + 1
+            cur, n = cur[first:], tail - 1
+        cur.append(s)
+        n += len(s) + 1
+    if cur:
+        last = " ".join(cur)
+        if done and len(last) < least:
+            done[-1] += f" {last}"
+        else:
+            done.append(last)
+    return done
+
+
 def merge_sentences(parts: Column, size: int = CHUNK_SIZE, overlap: int = OVERLAP, least: int = LEAST) -> Column:
     """Chunks of at most ``size`` characters (but for longer sentences), each starting with the tail of the one before.
 
-    A last chunk below ``least`` characters is appended to the one before.
+    A last chunk below ``least`` characters is appended to the one before. Runs on
+    Arrow batches in time linear in the text: a fold of arrays in the JVM copies what
+    is done at every sentence.
+    """
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield s.map(lambda p: None if p is None else _merged(list(p), size, overlap, least))
+
+    return F.pandas_udf(run, "array<string>")(parts)
+
+
+def numbered(df: DataFrame, key: str, order: tuple[str, ...], name: str, block: int = 1024) -> DataFrame:
+    """Adds ``name``: the place of a row, from 0, within its key in the order given, whose first column is a number.
+
+    A key may hold any share of the rows: places are counted within blocks of the
+    first column's values, to which the sizes of the earlier blocks are added. ``df`` is
+    evaluated twice. Nulls in the first column come first; rows with a null key are one group.
     """
-    none = F.array().cast("array<string>")
-    start = F.struct(none.alias("done"), none.alias("cur"), F.lit(0).alias("n"))
-    length = lambda a: F.aggregate(a, F.lit(0), lambda x, s: x + F.length(s)) + F.size(a) - 1
-
-    def step(acc: Column, s: Column) -> Column:
-        tail = overlap_tail(acc["cur"], overlap)
-        flushed = F.struct(
-            F.concat(acc["done"], F.array(F.array_join(acc["cur"], " "))).alias("done"),
-            F.concat(tail, F.array(s)).alias("cur"),
-            (length(tail) + F.length(s) + 1).alias("n"),
-        )
-        grown = F.struct(acc["done"].alias("done"), F.concat(acc["cur"], F.array(s)).alias("cur"), (acc["n"] + F.length(s) + 1).alias("n"))
-        return F.when((acc["n"] + F.length(s) > size) & (F.size(acc["cur"]) > 0), flushed).otherwise(grown)
-
-    def finish(acc: Column) -> Column:
-        last = F.array_join(acc["cur"], " ")
-        joined = F.concat(F.slice(acc["done"], 1, F.size(acc["done"]) - 1), F.array(F.concat_ws(" ", F.element_at(acc["done"], -1), last)))
-        return (
-            F.when(F.size(acc["cur"]) == 0, acc["done"])
-            .when((F.length(last) < least) & (F.size(acc["done"]) > 0), joined)
-            .otherwise(F.concat(acc["done"], F.array(last)))
-        )
-
-    return F.aggregate(parts, start, step, finish)
+    rows = df.withColumn("_block", F.coalesce(F.floor(F.col(order[0]) / block), F.lit(-(1 << 60))))
+    before = Window.partitionBy("_key").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy(F.col(key).alias("_key"), F.col("_block").alias("_b")).agg(F.count("*").alias("_n"))
+    offsets = sizes.select("_key", "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    local = rows.withColumn("_place", F.row_number().over(Window.partitionBy(key, "_block").orderBy(*order)))
+    both = local.join(offsets, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_block") == F.col("_b")))
+    return both.withColumn(name, (F.col("_before") + F.col("_place") - 1).cast("int")).drop("_block", "_key", "_b", "_before", "_place")
 
 
 def sentence_merge(base: DataFrame, text_col: str = "chunk_text", order: tuple[str, ...] = ("doc_id", "chunk_index"), size: int = CHUNK_SIZE) -> DataFrame:
@@ -59,9 +86,9 @@ def sentence_merge(base: DataFrame, text_col: str = "chunk_text", order: tuple[s
     whole = F.col(text_col)
     parts = F.when(F.length(whole) <= size, F.array(whole)).otherwise(merge_sentences(T.sentences(whole, size), size))
     rest = [c for c in base.columns if c not in (text_col, "sub")]
-    cut = base.select(*rest, F.posexplode(parts).alias("sub", text_col)).filter(F.length(text_col) > 0)
-    by_doc = Window.partitionBy(order[0]).orderBy(*order[1:], "sub")
-    return cut.withColumn("chunk_index", F.row_number().over(by_doc) - 1)
+    split = base.select(*rest, F.posexplode(parts).alias("sub", text_col)).filter(F.length(text_col) > 0)
+    again = numbered(cut(split), order[0], (*order[1:], "sub"), "_index").drop("chunk_index")
+    return again.withColumnRenamed("_index", "chunk_index").select(*[c for c in split.columns if c != "chunk_index"], "chunk_index")
 
 
 def paragraphs(text: Column, mark: str = "\n\n") -> Column:
@@ -112,9 +139,9 @@ def page_fallback(pages: DataFrame) -> DataFrame:
     flat = T.clean_text(F.col("text"))
     kept = pages.select("doc_id", "page", flat.alias("chunk_text")).filter(F.length("chunk_text") >= 50)
     category = F.when(F.col("page") == 0, model.ABSTRACT).when(F.col("page") <= 2, model.INTRODUCTION).otherwise(model.OTHER)
-    return kept.select(
+    return numbered(cut(kept), "doc_id", ("page",), "chunk_index").select(
         "doc_id",
-        (F.row_number().over(Window.partitionBy("doc_id").orderBy("page")) - 1).alias("chunk_index"),
+        "chunk_index",
         "chunk_text",
         F.concat(F.lit("Page "), (F.col("page") + 1).cast("string")).alias("section_title"),
         category.alias("section_category"),

@@ -410,8 +410,7 @@ def a16_newest(spark: SparkSession, root: str) -> DataFrame:
 
 @query("select id, row_number() over (partition by doc_id order by chunk_index, id)::int - 1 running from chunk_results")
 def w3_w8_numbering(spark: SparkSession, root: str) -> DataFrame:
-    w = Window.partitionBy("doc_id").orderBy("chunk_index", "id")
-    return table(spark, root, "chunk_results").select("id", (F.row_number().over(w) - 1).alias("running"))
+    return chunking.numbered(table(spark, root, "chunk_results").select("doc_id", "chunk_index", "id"), "doc_id", ("chunk_index", "id"), "running").select("id", "running")
 
 
 @query("select id, lead(page_number) over (partition by doc_id order by chunk_index, id) next_page, lead(section_title) over (partition by doc_id order by chunk_index, id) next_title from chunk_results")

@@ -210,3 +210,26 @@ def test_empty_tables(spark):
     papers, chunks = spark.createDataFrame([], model.PAPER_SOURCE), spark.createDataFrame([], f"doc_id string, {model.CHUNK}")
     assert model.collection(papers, chunks).count() == 0
     assert themes.keyword_groups(papers).count() == 0
+
+
+def test_numbered_in_blocks(spark):
+    """Places don't depend on the size of blocks; null keys are one group, null values come first, ties go by the next column."""
+    from pyspark.sql import Window
+
+    from folioflow.operators import chunking
+
+    rows = [("a", k % 50, k) for k in range(300)] + [("b", 7, 1000), (None, 3, 1001), (None, None, 1002), ("c", -5, 1003), ("c", 2, 1004)]
+    df = spark.createDataFrame(rows, "d string, x int, id int")
+    want = {r.id: r.n for r in df.withColumn("n", F.row_number().over(Window.partitionBy("d").orderBy("x", "id")) - 1).collect()}
+    for block in (1, 7, 1024):
+        assert {r.id: r.n for r in chunking.numbered(df, "d", ("x", "id"), "n", block).collect()} == want
+
+
+def test_merge_sentences_is_linear():
+    import time
+
+    from folioflow.operators.chunking import _merged
+
+    began = time.process_time()
+    out = _merged(["A sentence of some length."] * 200_000, 800, 100, 100)
+    assert time.process_time() - began < 5 and all(len(c) <= 800 for c in out)
