@@ -10,13 +10,15 @@ within ``radius`` bits retrieves *every* code within Hamming distance
 ``m * (radius + 1) - 1``, and most codes somewhat beyond. Retrieved codes within
 ``code_radius`` bits are reranked by their float distance in double precision.
 
-Distribution. The shuffle key is a *cell*: a table and a prefix of its
-substring. The prefix is as long as needed for cells of about ``cell_rows`` rows.
-A query visits exactly the cells whose prefix is within ``radius`` bits of its
-own, so the result doesn't depend on the cell size. Short prefixes (a small
-collection) give one cell that serves all tables in one visit. A cell that stays
-too large (many near copies share a substring) is salted into blocks that each
-take all of the cell's queries. Exact copies are collapsed before the search and
+Distribution. There are two ways to bring queries to members, with one result;
+the one that sends a query to fewer places is taken. In *blocks* of about
+``cell_rows`` rows, drawn by hash, that each serve all tables in one visit: a query
+visits every block. Or in *cells*, a table and a prefix of its substring as long as
+needed for cells of about ``cell_rows`` rows: a query visits the cells whose prefix
+is within ``radius`` bits of its own, for every table. Cells send less from about
+2,000 blocks on (a quarter of a billion rows). A cell that stays too large (many
+near copies share a substring) is salted into blocks that each take all of the
+cell's queries. Exact copies are collapsed before the search and
 given back after it, so a vector held by a third of all rows is searched once.
 """
 
@@ -35,6 +37,7 @@ from folioflow.runtime import cut
 
 SUB_BITS = 16
 BLOCK_ROWS = 4096  # rows of queries that one task takes at a time
+QUERY_ROWS = 1 << 20  # rows of queries that one task of the block plan reads in all
 
 
 def usable(df: DataFrame, id_col: str, vec_col: str, dim: int) -> DataFrame:
@@ -172,9 +175,11 @@ def _nearest(block: _Block, ids: np.ndarray, vec: np.ndarray, sub: np.ndarray, m
     return pd.concat(out, ignore_index=True) if out else pd.DataFrame([], columns=["id", "other", "dist"])
 
 
-def _cells(n: int, tables: int, cell_rows: int) -> int:
-    """Bits of the prefix: 0 while one cell holds all rows."""
-    return 0 if n <= cell_rows else min(SUB_BITS, math.ceil(math.log2(n / cell_rows)))
+def _cells(n: int, tables: int, cell_rows: int, radius: int) -> int:
+    """Bits of the prefix that names a cell; 0 where blocks send a query to no more places than cells would."""
+    blocks = -(-n // cell_rows)
+    bits = min(SUB_BITS, math.ceil(math.log2(max(1, blocks))))
+    return bits if blocks > tables * len(_ball(bits, radius)) else 0
 
 
 def nearest_vectors(
@@ -214,7 +219,7 @@ def nearest_vectors(
     if n == 0:
         return spark.createDataFrame([], "id long, neighbour long, rank int, distance double")
     mean, bases = fit_rotations(_matrix(bounded["v"]).astype(np.float64), rotations)
-    bits = _cells(n, tables, cell_rows)
+    bits = _cells(n, tables, cell_rows, radius)
     masks, near = _ball(SUB_BITS, radius), _ball(bits, radius)
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -238,11 +243,14 @@ def nearest_vectors(
             .select("id", "v", "sub", "t", "x", F.explode(flips).alias("f"))
             .select("id", "v", "sub", (F.col("t").cast("long") * (1 << SUB_BITS) + F.shiftright("x", shift).bitwiseXOR(F.col("f"))).alias("cell"))
         )
-    # Members of a cell in blocks of bounded size, its queries in blocks too: a
-    # task holds one block of members and reads blocks of queries, each pair of
-    # blocks exactly once. The counts are at most tables * 2^16 rows.
+    # Members of a cell (without cells: of the whole) in blocks of bounded size, its
+    # queries in parts too: a task holds one block of members and reads one part of
+    # the queries, each pair exactly once. The counts are at most tables * 2^16 rows.
     sizes = members.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(float(cell_rows))).cast("int").alias("salts"))
-    asked = max(1, min(spark.sparkContext.defaultParallelism, -(-n // BLOCK_ROWS))) if bits == 0 else 1
+    # Blocks meet the queries in as many parts as keep all cores busy and a task below about QUERY_ROWS of them.
+    blocks = -(-n // cell_rows)
+    parts = max(-(-spark.sparkContext.defaultParallelism // blocks), -(-n // QUERY_ROWS))
+    asked = max(1, min(parts, -(-n // BLOCK_ROWS))) if bits == 0 else 1
     salted = members.join(F.broadcast(sizes), "cell").select(
         "cell",
         F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"),
@@ -316,10 +324,7 @@ def nearest_vectors(
             ahead = rest[0] if rest else None
 
     partial = tasks.mapInPandas(walk, found_schema)
-    if bits == 0:
-        found = partial
-    else:
-        found = partial.dropDuplicates(["id", "other"])
+    found = partial if bits == 0 else partial.dropDuplicates(["id", "other"])
     # Distinct vectors -> rows: every row takes the copies of its own vector
     # first, then those of the near ones; of a vector's copies the k + 1 smallest
     # ids are enough.

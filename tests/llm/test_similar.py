@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from folioflow.llm import similar
 from folioflow.llm.similar import near_pairs, nearest_vectors
 
 DIM = 16
@@ -40,11 +41,23 @@ def test_recall_against_brute_force(spark, cell_rows):
     assert np.mean([len(set(got.get(i, [])) & set(want[i])) / 5 for i in ids]) >= 0.9
 
 
-def test_cells_do_not_change_the_result(spark):
+def in_cells(monkeypatch, bits):
+    """Cells instead of blocks, which only very large collections take of themselves."""
+    monkeypatch.setattr(similar, "_cells", lambda *_: bits)
+
+
+def test_blocks_and_cells_do_not_change_the_result(spark, monkeypatch):
     rng = np.random.default_rng(2)
     df = frame(spark, rng.normal(size=(300, DIM)))
     a = found(nearest_vectors(df, 3, dim=DIM, cell_rows=10_000))
     assert a == found(nearest_vectors(df, 3, dim=DIM, cell_rows=40))
+    in_cells(monkeypatch, 3)
+    assert a == found(nearest_vectors(df, 3, dim=DIM, cell_rows=40))
+
+
+def test_the_plan_that_sends_less():
+    assert similar._cells(100_000, 8, 131_072, 3) == 0 and similar._cells(100_000_000, 8, 131_072, 3) == 0
+    assert similar._cells(1_000_000_000, 8, 131_072, 3) == 13
 
 
 def test_copies_and_ties(spark):
@@ -57,7 +70,9 @@ def test_copies_and_ties(spark):
     assert got[4] == [1, 2, 3, 5, 6]
 
 
-def test_a_third_of_all_rows_nearly_alike(spark):
+@pytest.mark.parametrize("bits", [0, 4])
+def test_a_third_of_all_rows_nearly_alike(spark, monkeypatch, bits):
+    in_cells(monkeypatch, bits)
     rng = np.random.default_rng(3)
     hot = np.eye(DIM)[0] + 0.001 * rng.normal(size=(150, DIM))
     x = np.concatenate([hot, rng.normal(size=(300, DIM))])
