@@ -9,7 +9,7 @@
    maximum-scoring segments of (threshold - score) are the runs under suspicion.
 3. Inverse mappings. Only inside those runs, the wrong decoding is undone: encode
    with the code page that was wrongly used, decode with the right one, up to
-   twice over. The result stands if it is more probable under the corpus
+   three times over. The result stands if it is more probable under the corpus
    pairs, by a margin that is wider for single-byte encodings, which any
    string survives, than for UTF-8, which hardly any string obeys by chance.
 
