@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.functions.jsonx import ITEM_KEYS
+from folioflow.functions.jsonx import FIELD_KEYS, ITEM_KEYS
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: A start tag that closes an open element of these kinds.
@@ -253,10 +253,7 @@ def verify(html: str, selector_json: str) -> dict[str, object]:
         given = {}
     given = given if isinstance(given, dict) else {}
     pick = lambda *keys: next((given[k].strip() for k in keys if isinstance(given.get(k), str) and given[k].strip()), None)
-    fields = {
-        "title": pick("title", "paper_title", "paperTitle"), "abstract": pick("abstract", "paper_abstract", "summary"), "pdf": pick("pdf_link", "pdf", "pdf_url", "pdfUrl"),
-        "authors": pick("authors", "author", "paper_authors"), "link": pick("link", "url", "paper_url", "paper_link"),
-    }
+    fields = {field: pick(*keys) for field, keys in FIELD_KEYS.items()}
     root = parse(html)
     item = pick(*ITEM_KEYS) or detect_item(root, fields["title"])[0]
     boxes = ([root] if item == "body" else _safe_select(root, item))[:MAX_ITEMS]

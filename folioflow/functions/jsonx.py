@@ -55,20 +55,21 @@ def unfence(text: Column) -> Column:
     return F.when(body.startswith(FENCE), F.trim(F.regexp_replace(F.regexp_replace(body, rf"^{FENCE}[^\n]*\n?", ""), rf"\n?{FENCE}\s*$", ""))).otherwise(body)
 
 
+# The names under which selector objects give each field, and the item selector, in order of preference.
+FIELD_KEYS = {
+    "title": ("title", "paper_title", "paperTitle"),
+    "abstract": ("abstract", "paper_abstract", "summary"),
+    "pdf": ("pdf_link", "pdf", "pdf_url", "pdfUrl"),
+    "authors": ("authors", "author", "paper_authors"),
+    "link": ("link", "url", "paper_url", "paper_link"),
+}
+ITEM_KEYS = ("item_selector", "paper_item_selector", "paper_selector", "list_item_selector", "papers", "paper_list")
+
+
 def selector_fields(text: Column) -> dict[str, Column]:
     """Field selectors of a selector object: for each field the first non-blank of its names."""
-    names = {
-        "title": ("title", "paper_title", "paperTitle"),
-        "abstract": ("abstract", "paper_abstract", "summary"),
-        "pdf": ("pdf_link", "pdf", "pdf_url", "pdfUrl"),
-        "authors": ("authors", "author", "paper_authors"),
-        "link": ("link", "url", "paper_url", "paper_link"),
-    }
     get = lambda n: F.nullif(F.trim(F.get_json_object(text, f"$.{n}")), F.lit(""))
-    return {field: F.coalesce(*map(get, keys)) for field, keys in names.items()}
-
-
-ITEM_KEYS = ("item_selector", "paper_item_selector", "paper_selector", "list_item_selector", "papers", "paper_list")
+    return {field: F.coalesce(*map(get, keys)) for field, keys in FIELD_KEYS.items()}
 
 
 def item_selector(text: Column) -> Column:
