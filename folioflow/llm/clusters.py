@@ -18,7 +18,9 @@ Sums are of whole numbers (components in steps of 2^-24), so that they don't
 depend on the order of rows. A round is four joins and two aggregations of
 tables that shrink from round to round; its results are written to the shared
 folder. A join's hot key (a large cluster's edges) meets one row on the other
-side, which adaptive execution splits.
+side, which adaptive execution splits. Once at most ``FEW_NODES`` clusters and
+``FEW_EDGES`` edges are left, one task ends the rounds in memory, by the same arithmetic:
+a round of such a size costs far more in plans, and in the driver's memory, than in work.
 
 An exact check follows: rows belong to the centre they are nearest to if their
 cosine to it reaches the bound; centres are the mean directions of their rows,
@@ -33,6 +35,8 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,6 +48,7 @@ from folioflow.runtime import Kept, broadcast_within, cut
 CENTRE_BLOCK = 8192
 STEP = 1 << 24  # components are summed in whole numbers of 1 / STEP
 FINE = 32767  # mean vectors are compared in whole numbers of 1 / FINE
+FEW_NODES, FEW_EDGES = 150_000, 500_000  # one task's share of the rounds: about 0.3 GB at 64 components
 
 
 def steps(x: str) -> str:
@@ -77,6 +82,8 @@ def merge_rounds(nodes: DataFrame, edges: DataFrame, dim: int, threshold: float
     link = edges.join(nodes.selectExpr("id a", "n na"), "a").join(nodes.selectExpr("id b", "n nb"), "b")
     link = kept.write(link.selectExpr("a", "b", "sim w", "na", "nb"), "link0")
     for k in range(most_rounds):
+        if state.count() <= FEW_NODES and link.count() <= FEW_EDGES:
+            return kept.write(_rest_of_rounds(state, link, threshold, slack, most_rounds - k), "rest")
         both = link.filter(f"w >= {threshold!r}").selectExpr("inline(array(struct(a, b, w, na as n), struct(b as a, a as b, w, nb as n)))")
         best = both.groupBy("a").agg(F.expr("max(struct(w, -b as nb)) m"), F.expr("max(n) n")).selectExpr("a", "-m.nb b", "m.w w", "n")
         pointed = best.join(best.selectExpr("a b", "b bb", "w bw", "n bn"), "b").selectExpr("a", "b", "bb = a mutual", f"w >= bw * {1 - slack!r} and n <= bn near")
@@ -102,6 +109,67 @@ def merge_rounds(nodes: DataFrame, edges: DataFrame, dim: int, threshold: float
     raise RuntimeError(f"merges were still open after {most_rounds} rounds")
 
 
+def _rest_of_rounds(state: DataFrame, link: DataFrame, threshold: float, slack: float, most_rounds: int) -> DataFrame:
+    """The rounds of :func:`merge_rounds` from (cluster, n, s) and (a, b, w, na, nb) on, in one task."""
+    nodes = state.selectExpr("cluster a", "cast(null as long) b", "cast(null as double) w", "n", "s")
+    every = nodes.unionByName(link.selectExpr("a", "b", "w", "cast(null as long) n", "cast(null as array<long>) s"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not (every := [x for x in batches if len(x)]):
+            return
+        got = pa.Table.from_batches(every)
+        own = pc.is_valid(got["n"])
+        rows, edges = got.filter(own).sort_by("a"), got.filter(pc.invert(own))
+        ids, n = rows["a"].to_numpy(), rows["n"].to_numpy()
+        s = rows["s"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+        a, b = np.searchsorted(ids, edges["a"].to_numpy()), np.searchsorted(ids, edges["b"].to_numpy())
+        left, n, s = merge_in_memory(n, s, a, b, edges["w"].to_numpy(), threshold, slack, most_rounds)
+        for k in range(0, len(left), 10_000):
+            part = s[k : k + 10_000]
+            offsets = np.arange(0, part.size + 1, part.shape[1], dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[left[k : k + 10_000]]), pa.array(n[k : k + 10_000]), pa.ListArray.from_arrays(offsets, part.ravel())], ["cluster", "n", "s"])
+
+    return every.coalesce(1).mapInArrow(run, "cluster long, n long, s array<long>")
+
+
+def merge_in_memory(n: np.ndarray, s: np.ndarray, a: np.ndarray, b: np.ndarray, w: np.ndarray, threshold: float, slack: float, most_rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places, n, s) of the clusters left of those with numbers ``n`` and sums ``s``, under edges of places ``a`` < ``b``; places are in the order of ids."""
+    n, s, here = n.copy(), s.copy(), np.arange(len(n))
+    alive = np.ones(len(n), bool)
+    for _ in range(most_rounds):
+        fits = w >= threshold
+        x, y, v = np.concatenate([a[fits], b[fits]]), np.concatenate([b[fits], a[fits]]), np.concatenate([w[fits], w[fits]])
+        order = np.lexsort((y, -v, x))
+        x, y, v = x[order], y[order], v[order]
+        first = np.ones(len(x), bool)
+        first[1:] = x[1:] != x[:-1]
+        x, y, v = x[first], y[first], v[first]
+        best, top = np.full(len(n), -1), np.zeros(len(n))
+        best[x], top[x] = y, v
+        near = (v >= top[y] * (1 - slack)) & (n[x] <= n[y])
+        paired = best[best[y]] == y
+        goes = ((best[y] == x) | near) & paired
+        if not goes.any():
+            return here[alive], n[alive], s[alive]
+        x, y = x[goes], y[goes]
+        root, moved = here.copy(), np.zeros(len(n), bool)
+        root[x], moved[x] = np.minimum(y, best[y]), True
+        gone = x[root[x] != x]
+        np.add.at(s, root[gone], s[gone])
+        np.add.at(n, root[gone], n[gone])
+        alive[gone] = False
+        changed = moved[a] | moved[b]
+        p, q = root[a[changed]], root[b[changed]]
+        pairs = np.unique(np.minimum(p, q)[p != q] * len(n) + np.maximum(p, q)[p != q])
+        p, q = pairs // len(n), pairs % len(n)
+        new = np.empty(len(p))
+        for k in range(0, len(p), 50_000):
+            mean = lambda at: np.floor(s[at] * (FINE / STEP) / n[at, None] + 0.5).astype(np.int64)
+            new[k : k + 50_000] = (mean(p[k : k + 50_000]) * mean(q[k : k + 50_000])).sum(axis=1) / float(FINE * FINE)
+        a, b, w = np.concatenate([a[~changed], p]), np.concatenate([b[~changed], q]), np.concatenate([w[~changed], new])
+    raise RuntimeError(f"merges were still open after {most_rounds} rounds")
+
+
 def within(units: DataFrame, centres: DataFrame, bound: float, larger: bool = False) -> DataFrame:
     """(id, u, cluster, cosine): for each row the centre it is nearest to, if within ``bound``; ties by the smaller cluster.
 

@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from folioflow.llm import clusters as C
 from folioflow.llm.clusters import STEP, cluster_rows, merge_rounds, tie_to_known, within
 
 DIM = 16
@@ -63,6 +64,21 @@ def test_copies_weigh_in_the_linkage(spark):
     assert merged(spark, x, pairs, 0.457, [1, 1, 1, 3]) == {1: 6}
 
 
+def test_rounds_in_one_task_are_those_of_the_joins(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    x = np.repeat(rng.normal(size=(6, DIM)), 25, axis=0) + 0.7 * rng.normal(size=(150, DIM))
+    pairs = sorted({(min(a, b), max(a, b)) for a, b in rng.integers(1, 151, size=(900, 2)).tolist() if a != b})
+    counts = rng.integers(1, 4, size=150).tolist()
+    sc = spark.sparkContext
+    sc.setJobGroup("rounds", "")
+    found = merged(spark, x, pairs, 0.3, counts)
+    jobs = len(sc.statusTracker().getJobIdsForGroup("rounds"))
+    sc.setJobGroup("", "")
+    monkeypatch.setattr(C, "FEW_NODES", -1)
+    assert found == merged(spark, x, pairs, 0.3, counts) and 5 < len(found) < 100
+    assert jobs < 25  # every round of joins is a dozen jobs, whose plans filled the driver
+
+
 def test_a_bridge_between_large_clusters(spark):
     """Loose rows half-way between clusters of hundreds join nothing: sets are those of the definition."""
     rng = np.random.default_rng(8)
