@@ -62,3 +62,19 @@ def test_routes_of_questions_in_any_language(spark, tmp_path):
     rows = [(1, "Où est l'idée ?"), (2, "Bitte crawl die Räume"), (3, " ¿ ? "), (4, "What is it?"), (5, None)]
     spark.createDataFrame(rows, "id long, question string").write.parquet(f"{tmp_path}/qa_pairs.parquet")
     assert {r.id: r.route for r in QUERIES["l1_routes"](spark, str(tmp_path)).collect()} == {1: "search", 2: "collect", 3: "clarify", 4: "search", 5: "clarify"}
+
+
+def test_keyword_pairs_in_blocks_without_candidates(spark, monkeypatch):
+    from folioflow.operators import themes
+
+    rng = np.random.default_rng(6)
+    kw = {f"d{k:02}": sorted({f"w{w}" for w in rng.integers(0, 40, rng.integers(0, 15))}) for k in range(70)}
+    sets = spark.createDataFrame([*kw.items(), (None, ["w1"])], "doc_id string, kw array<string>")
+    monkeypatch.setattr(themes, "PAIR_BLOCK", 20, raising=False)
+    monkeypatch.setattr(themes, "PAIR_TASK", 15, raising=False)
+    pairs = themes.similar_pairs(sets, 0.2).collect()
+    want = {(a, b): sorted(set(kw[a]) & set(kw[b])) for a in kw for b in kw if a < b and len(set(kw[a]) & set(kw[b])) > 0.2 * len(set(kw[a]) | set(kw[b]))}
+    assert {(r.id1, r.id2): r.common for r in pairs} == want and len(pairs) == len(want) > 100
+    sims = themes.pair_similarities(sets, 0.2)
+    assert "Join" not in sims._jdf.queryExecution().toString()
+    assert {(r.id1, r.id2): r.sim for r in sims.collect()} == {(a, b): len(c) / len(set(kw[a]) | set(kw[b])) for (a, b), c in want.items()}
