@@ -44,16 +44,14 @@ def search_each(rows: DataFrame, queries: DataFrame, k: int, fields: tuple[str,
     Either way each task keeps the top k per query before anything is shuffled. Null vectors, and
     those of another length than the query, are nobody's neighbour.
     """
-    w = Window.partitionBy("query_id").orderBy("dist", *fields)
     if on:
         pairs = rows.join(queries.select("query_id", F.col("query").alias("_q"), *on), on)
         fits = F.col(vec_col).isNotNull() & (F.size(vec_col) == F.size("_q"))
         scored = pairs.filter(fits).select("query_id", *fields, l2(F.col(vec_col), F.col("_q")).alias("dist"))
     else:
         asked = queries.filter("query is not null").select("query_id", F.col("query").cast("array<double>").alias("query"))
-        kind = queries.schema["query_id"].dataType.simpleString()
-        scored = reduce(DataFrame.unionByName, [_scan(rows, block, kind, k, fields, vec_col) for block in _blocks(asked)])
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", *fields, "dist")
+        scored = _scans(rows, asked, k, fields, vec_col)
+    return _best(scored, k, fields)
 
 
 def _blocks(asked: DataFrame) -> Iterator[pd.DataFrame]:
@@ -69,48 +67,76 @@ def _blocks(asked: DataFrame) -> Iterator[pd.DataFrame]:
         yield asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toPandas()
 
 
-def _scan(rows: DataFrame, asked: pd.DataFrame, kind: str, k: int, fields: tuple[str, ...], vec_col: str, block: int = 1024) -> DataFrame:
+#: (vectors of rows, their cells, vectors of queries) -> parts (places of rows, of queries, packed bits of which of them meet, or None for all).
+Meeting = Callable[[np.ndarray, np.ndarray | None, np.ndarray], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray | None]]]
+
+
+def _scans(rows: DataFrame, asked: DataFrame, k: int, fields: tuple[str, ...], vec_col: str, meeting: Meeting | None = None, cell: str | None = None) -> DataFrame:
+    """(query_id, *fields, dist) of all queries (query_id, query), by block and length."""
+    kind = asked.schema["query_id"].dataType.simpleString()
+    found = []
+    for block in _blocks(asked):
+        length = block["query"].map(len)
+        found += [_scan(rows, block[length == n], kind, k, fields, vec_col, meeting, cell) for n in sorted(length.unique())] or [_scan(rows, block, kind, k, fields, vec_col)]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _scan(
+    rows: DataFrame, asked: pd.DataFrame, kind: str, k: int, fields: tuple[str, ...], vec_col: str, meeting: Meeting | None = None, cell: str | None = None, block: int = 1024
+) -> DataFrame:
     """(query_id, *fields, dist): of every batch of rows the best for each query, by matrix products.
 
-    Products only choose: whatever comes within their rounding error of a batch's
-    k-th best gets its distance from differences.
+    Products only choose: whatever comes within their rounding error of the
+    k-th best of its batch, or of an earlier one of its task, gets its distance from differences.
+    ``meeting`` says which rows and queries meet, else all do.
     """
     kinds = rows.schema
     names = [f"_f{i}" for i in range(len(fields))]
     schema = ", ".join([f"query_id {kind}", *(f"{n} {kinds[f].dataType.simpleString()}" for n, f in zip(names, fields)), "dist double"])
     back = ["query_id", *[F.col(n).alias(f) for n, f in zip(names, fields)], "dist"]
-    slim = rows.select(*[F.col(f).alias(n) for n, f in zip(names, fields)], F.col(vec_col).alias("_v"))
+    slim = rows.select(*[F.col(f).alias(n) for n, f in zip(names, fields)], F.col(vec_col).alias("_v"), *([F.col(cell).alias("_cell")] if cell else []))
     if not len(asked):
         return slim.select(F.lit(None).cast(kind).alias("query_id"), *names, F.lit(0.0).alias("dist")).filter("false").select(*back)
     dim = len(asked["query"].iloc[0])
-    matrix = np.stack([q if len(q) == dim else np.full(dim, np.nan) for q in asked["query"]])
-    shared = rows.sparkSession.sparkContext.broadcast((asked["query_id"].to_numpy(), matrix))
+    shared = rows.sparkSession.sparkContext.broadcast((asked["query_id"].to_numpy(), np.stack(asked["query"].to_numpy())))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, q = shared.value
         norms = (q * q).sum(axis=1)
+        best = np.full(len(q), np.inf)
         for x in batches:
             if not len(x):
                 continue
             v = np.stack(x["_v"].to_numpy()).astype(np.float64)
-            own = (v * v).sum(axis=1)
-            for a in range(0, len(q), block):
-                part = q[a : a + block]
-                d2 = norms[a : a + block, None] + own[None, :] - 2 * part @ v.T
-                if len(x) > k:
-                    edge = np.partition(d2, k - 1, axis=1)[:, k - 1]
-                    qi, ri = np.nonzero(d2 <= (edge + 1e-9 * (1 + np.abs(edge) + norms[a : a + block]))[:, None])
-                else:
-                    qi, ri = np.nonzero(np.isfinite(d2))
-                out = x[names].iloc[ri].reset_index(drop=True)
-                out.insert(0, "query_id", ids[a + qi])
-                out["dist"] = np.sqrt(np.square(v[ri] - part[qi]).sum(axis=1))
-                if len(out):
-                    yield out
+            every = [(np.arange(len(v)), np.arange(len(q)), None)]
+            for at, asking, bits in meeting(v, x["_cell"].to_numpy() if cell else None, q) if meeting else every:
+                near = v[at]
+                own = (near * near).sum(axis=1)
+                for a in range(0, len(asking), block):
+                    who = asking[a : a + block]
+                    part = q[who]
+                    d2 = norms[who, None] + own[None, :] - 2 * part @ near.T
+                    if bits is not None:
+                        d2[np.unpackbits(bits[a : a + block], axis=1, count=len(at)) == 0] = np.inf
+                    if len(at) > k:
+                        edge = np.partition(d2, k - 1, axis=1)[:, k - 1]
+                        best[who] = np.fmin(best[who], edge)
+                    bound = best[who] + 1e-9 * (1 + np.abs(best[who]) + norms[who])
+                    qi, ri = np.nonzero((d2 <= bound[:, None]) & (d2 < np.inf))
+                    out = x[names].iloc[at[ri]].reset_index(drop=True)
+                    out.insert(0, "query_id", ids[who[qi]])
+                    out["dist"] = np.sqrt(np.square(near[ri] - part[qi]).sum(axis=1))
+                    if len(out):
+                        yield out
 
     return slim.filter(F.col("_v").isNotNull() & (F.size("_v") == dim)).mapInPandas(run, schema).select(*back)
 
 
+def _best(scored: DataFrame, k: int, fields: tuple[str, ...]) -> DataFrame:
+    w = Window.partitionBy("query_id").orderBy("dist", *fields)
+    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", *fields, "dist")
+
+
 def first_per_document(hits: DataFrame, keys: tuple[str, ...] = (), order: tuple[str, ...] = ("dist", "doc_id", "chunk_id")) -> DataFrame:
     """Of hits that were already limited, the nearest of each document; so fewer than k may be left."""
     w = Window.partitionBy(*keys, "doc_id").orderBy(*order)
@@ -144,12 +170,22 @@ def build_ivf(rows: DataFrame, cells: int, vec_col: str = "vectors", sample_rows
 
 
 def search_ivf(indexed: DataFrame, model: KMeansModel, queries: DataFrame, k: int, probe: int, fields: tuple[str, ...], vec_col: str = "vectors") -> DataFrame:
-    """The ``k`` nearest rows of every query in its ``probe`` nearest cells: an equi-join on the cell."""
-    centres = queries.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "cell int, centre array<double>")
-    near = queries.join(F.broadcast(centres), F.lit(True)).select("query_id", "query", "cell", l2(F.col("query"), F.col("centre")).alias("_d"))
-    w = Window.partitionBy("query_id").orderBy("_d", "cell")
-    probes = near.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= probe).select("query_id", "query", "cell")
-    return search_each(indexed, probes, k, fields, vec_col, on=["cell"])
+    """The ``k`` nearest rows of every query in its ``probe`` nearest cells.
+
+    Rows come together by cell, a large cell in parts, and each part meets the queries that
+    probe its cell, which go to the scan in blocks as in :func:`search_each`.
+    """
+    centres = np.stack(model.clusterCenters())
+
+    def meeting(v: np.ndarray, cells: np.ndarray, q: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, None]]:
+        apart = np.stack([np.square(q - c).sum(axis=1) for c in centres], axis=1)
+        probes = np.argsort(apart, axis=1, kind="stable")[:, :probe]
+        for c in np.unique(cells):
+            yield np.flatnonzero(cells == c), np.flatnonzero((probes == c).any(axis=1)), None
+
+    asked = queries.filter(F.size("query") == centres.shape[1]).select("query_id", F.col("query").cast("array<double>").alias("query"))
+    placed = indexed.select(*fields, vec_col, "cell").repartition("cell", F.pmod(F.xxhash64(*fields), F.lit(8))).sortWithinPartitions("cell")
+    return _best(_scans(placed, asked, k, fields, vec_col, meeting, "cell"), k, fields)
 
 
 def sign_keys(vector: Column, tables: int, bits: int, seed: int = 1) -> Column:

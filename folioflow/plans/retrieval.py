@@ -124,7 +124,7 @@ def _by_query():
 
 
 def _queries(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    u = cut(usable_papers(spark, root).select("id", F.col("embedding").alias("vectors")))
+    u = cut(usable_papers(spark, root).select("id", F.col("embedding").alias("vectors")).repartition("id"))
     return u, u.filter("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("vectors").alias("query"))
 
 

@@ -11,3 +11,34 @@ def test_blocks_of_queries_do_not_change_the_result(spark, monkeypatch):
     whole = found()
     monkeypatch.setattr(vectors, "QUERY_LIMIT", 7)
     assert found() == whole and len(whole) == 90
+
+
+def _small(spark, n=90, dim=8):
+    x = np.random.default_rng(5).normal(size=(n, dim)).astype(np.float32).astype(float)
+    rows = spark.createDataFrame([(k, [float(c) for c in v]) for k, v in enumerate(x)] + [(n, None), (n + 1, [1.0, 2.0])], "id long, vectors array<float>")
+    return x, rows, rows.filter("id % 2 = 0 or id > 88").selectExpr("id query_id", "vectors query")
+
+
+def _ranked(found):
+    out = {}
+    for r in sorted(found.collect(), key=lambda r: (r.query_id, r["rank"])):
+        out.setdefault(r.query_id, []).append(r.id)
+    return out
+
+
+def _joins(df):
+    return "Join" in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_cells_that_are_probed_are_searched_whole(spark, monkeypatch):
+    x, rows, queries = _small(spark)
+    indexed, fitted = vectors.build_ivf(rows.filter("id < 90"), 6)
+    cell = {r.id: r.cell for r in indexed.collect()}
+    centres = np.stack(fitted.clusterCenters())
+    want = {}
+    for q in (k for k in range(90) if k % 2 == 0 or k == 89):
+        probed = set(np.argsort(np.square(x[q] - centres).sum(axis=1), kind="stable")[:2])
+        want[q] = sorted((r for r in cell if cell[r] in probed), key=lambda r: (np.square(x[q] - x[r]).sum(), r))[:4]
+    monkeypatch.setattr(vectors, "QUERY_LIMIT", 20)
+    found = vectors.search_ivf(indexed, fitted, queries, 4, 2, ("id",))
+    assert _ranked(found) == want and not _joins(found)
