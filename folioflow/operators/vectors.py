@@ -192,41 +192,58 @@ def sign_keys(vector: Column, tables: int, bits: int, seed: int = 1) -> Column:
     """For each table the signs of ``bits`` random projections, as a number; null for null vectors."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        planes: dict[int, np.ndarray] = {}
         for s in batches:
             out = pd.Series([None] * len(s), index=s.index, dtype=object)
             length = s.map(lambda v: -1 if v is None else len(v))
             for dim in length[length > 0].unique():
-                if dim not in planes:
-                    planes[dim] = np.random.default_rng(seed).normal(size=(dim, tables * bits))
                 at = s.index[length == dim]
-                signs = (np.stack(s[at].to_numpy()).astype(np.float64) @ planes[dim] >= 0).reshape(len(at), tables, bits)
-                for i, keys in zip(at, signs @ (1 << np.arange(bits))):
+                for i, keys in zip(at, _keys(np.stack(s[at].to_numpy()).astype(np.float64), tables, bits, seed)):
                     out[i] = keys
             yield out
 
     return F.pandas_udf(run, "array<long>")(vector)
 
 
-def search_lsh(
-    rows: DataFrame, queries: DataFrame, k: int, fields: tuple[str, ...], tables: int = 32, bits: int = 12, vec_col: str = "vectors", seed: int = 1, salts: int = 8
-) -> DataFrame:
+def _keys(v: np.ndarray, tables: int, bits: int, seed: int) -> np.ndarray:
+    planes = np.random.default_rng(seed).normal(size=(v.shape[1], tables * bits))
+    return (v @ planes >= 0).reshape(len(v), tables, bits) @ (1 << np.arange(bits))
+
+
+def _in_buckets(keys: np.ndarray, own: np.ndarray, flips: list[int]) -> np.ndarray:
+    """For each query (keys ``own`` by table) the packed bits of the rows (``keys``) of which a key, in some table, is its own under one of ``flips``."""
+    n = len(keys)
+    met = np.zeros((len(own), -(-n // 8)), np.uint8)
+    for t in range(keys.shape[1]):
+        held, where = np.unique(keys[:, t], return_inverse=True)
+        rows = np.zeros((len(held), met.shape[1]), np.uint8)
+        for j in range(min(8, n)):  # rows of one pass have a byte each
+            at = np.arange(j, n, 8)
+            rows[where[at], at >> 3] |= 128 >> j
+        probed, whose = np.unique(own[:, t], return_inverse=True)
+        found = np.zeros((len(probed), met.shape[1]), np.uint8)
+        for f in flips:
+            place = np.minimum(np.searchsorted(held, probed ^ f), len(held) - 1)
+            there = held[place] == probed ^ f
+            found[there] |= rows[place[there]]
+        met |= found[whose]
+    return met
+
+
+def search_lsh(rows: DataFrame, queries: DataFrame, k: int, fields: tuple[str, ...], tables: int = 32, bits: int = 12, vec_col: str = "vectors", seed: int = 1) -> DataFrame:
     """Approximate neighbours by buckets of random projections; stands in for a graph index, whose walk isn't a plan of joins.
 
-    ``fields`` must name a row. A query probes, in each table, the bucket of its signs and
-    those that differ in one. Buckets are spread over ``salts`` parts of the rows, each
-    of which meets the bucket's queries. Only keys travel until the pairs are known,
-    each once; then the vectors of both sides are joined to them.
+    A query probes, in each table, the bucket of its signs and those that differ in one.
+    Queries go to the scan of the rows in blocks as in :func:`search_each`; which of a batch share
+    a bucket is found in bits, and only those count. At a sixth of all pairs, products of whole
+    blocks take less than joining the pairs.
     """
-    own = rows.filter(F.col(vec_col).isNotNull()).select(*fields, F.col(vec_col).alias("_v"))
-    filed = own.select(*fields, F.posexplode(sign_keys(F.col("_v"), tables, bits, seed)).alias("_t", "_key"), F.pmod(F.xxhash64(*fields), F.lit(salts)).alias("_salt"))
-    flips = F.array(*[F.lit(x).cast("long") for x in (0, *(1 << b for b in range(bits)))])
-    asking = queries.filter("query is not null").select("query_id", F.posexplode(sign_keys(F.col("query"), tables, bits, seed)).alias("_t", "_own"))
-    probes = asking.select("query_id", "_t", "_own", F.explode(flips).alias("_flip")).select("query_id", "_t", F.col("_own").bitwiseXOR(F.col("_flip")).alias("_key"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("_salt"))
-    pairs = filed.join(probes, ["_t", "_key", "_salt"]).select("query_id", *fields).distinct()
-    scored = pairs.join(own, list(fields)).join(queries.select("query_id", "query"), "query_id").filter(F.size("_v") == F.size("query")).select("query_id", *fields, l2(F.col("_v"), F.col("query")).alias("dist"))
-    w = Window.partitionBy("query_id").orderBy("dist", *fields)
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", *fields, "dist")
+    flips = [0, *(1 << b for b in range(bits))]
+
+    def meeting(v: np.ndarray, _: np.ndarray | None, q: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        yield np.arange(len(v)), np.arange(len(q)), _in_buckets(_keys(v, tables, bits, seed), _keys(q, tables, bits, seed), flips)
+
+    asked = queries.filter("query is not null").select("query_id", F.col("query").cast("array<double>").alias("query"))
+    return _best(_scans(rows, asked, k, fields, vec_col, meeting), k, fields)
 
 
 def recall(found: DataFrame, exact: DataFrame, key: str) -> DataFrame:

@@ -42,3 +42,17 @@ def test_cells_that_are_probed_are_searched_whole(spark, monkeypatch):
     monkeypatch.setattr(vectors, "QUERY_LIMIT", 20)
     found = vectors.search_ivf(indexed, fitted, queries, 4, 2, ("id",))
     assert _ranked(found) == want and not _joins(found)
+
+
+def test_buckets_that_are_probed_are_searched_whole(spark, monkeypatch):
+    x, rows, queries = _small(spark)
+    keys = {r.id: r.k for r in rows.select("id", vectors.sign_keys(vectors.F.col("vectors"), 2, 5).alias("k")).collect() if r.id < 90}
+    want = {}
+    for q in (k for k in range(90) if k % 2 == 0 or k == 89):
+        meets = [r for r in keys if any((a ^ b).bit_count() <= 1 for a, b in zip(keys[q], keys[r]))]
+        want[q] = sorted(meets, key=lambda r: (np.square(x[q] - x[r]).sum(), r))[:20]
+    want[91] = [91]  # of another length
+    monkeypatch.setattr(vectors, "QUERY_LIMIT", 20)
+    found = vectors.search_lsh(rows, queries, 20, ("id",), tables=2, bits=5)
+    assert _ranked(found) == want and not _joins(found)
+    assert min(map(len, want.values())) < 20 < 90
