@@ -56,3 +56,12 @@ def test_buckets_that_are_probed_are_searched_whole(spark, monkeypatch):
     found = vectors.search_lsh(rows, queries, 20, ("id",), tables=2, bits=5)
     assert _ranked(found) == want and not _joins(found)
     assert min(map(len, want.values())) < 20 < 90
+
+
+def test_the_comparison_joins_no_pairs(spark, data):
+    from folioflow.plans import retrieval
+
+    found = retrieval.e4_e5_comparison(spark, data)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "_cell" in plan  # no exploded probes; rows meet queries in the scan
+    assert {r.recall for r in found.collect() if r.index_type == "FLAT"} == {1.0}
