@@ -67,8 +67,24 @@ def _blocks(asked: DataFrame) -> Iterator[pd.DataFrame]:
         yield asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toPandas()
 
 
-#: (vectors of rows, their cells, vectors of queries) -> parts (places of rows, of queries, packed bits of which of them meet, or None for all).
-Meeting = Callable[[np.ndarray, np.ndarray | None, np.ndarray], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray | None]]]
+class Buckets:
+    """Which queries and rows of a batch share a bucket: of their keys, in some table, at most one bit differs."""
+
+    def __init__(self, keys: np.ndarray, own: np.ndarray, bits: int):
+        self.keys, self.own, self.flips = keys, own, [0, *(1 << b for b in range(bits))]
+
+    def bits(self, who: np.ndarray) -> np.ndarray:
+        """For each of these queries the packed bits of the rows that it meets."""
+        return _in_buckets(self.keys, self.own[who], self.flips)
+
+    def pairs(self, who: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Of these pairs of a query and a row, which meet."""
+        apart = self.keys[at] ^ self.own[who]
+        return (apart & (apart - 1) == 0).any(axis=1)
+
+
+#: (vectors of queries) -> (vectors of rows, their cells) -> parts (places of rows, of queries, the buckets in which they meet, or None if all meet).
+Meeting = Callable[[np.ndarray], Callable[[np.ndarray, np.ndarray | None], Iterator[tuple[np.ndarray, np.ndarray, Buckets | None]]]]
 
 
 def _scans(rows: DataFrame, asked: DataFrame, k: int, fields: tuple[str, ...], vec_col: str, meeting: Meeting | None = None, cell: str | None = None) -> DataFrame:
@@ -87,7 +103,7 @@ def _scan(
     """(query_id, *fields, dist): of every batch of rows the best for each query, by matrix products.
 
     Products only choose: whatever comes within their rounding error of the
-    k-th best of its batch, or of an earlier one of its task, gets its distance from differences.
+    k-th best of its task so far gets its distance from differences.
     ``meeting`` says which rows and queries meet, else all do.
     """
     kinds = rows.schema
@@ -102,36 +118,90 @@ def _scan(
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, q = shared.value
-        norms = (q * q).sum(axis=1)
-        best = np.full(len(q), np.inf)
+        best = np.full((len(q), k), np.inf)  # squares of the least distances of each query so far
+        meets = meeting(q) if meeting else lambda v, _: [(np.arange(len(v)), np.arange(len(q)), None)]
         for x in batches:
             if not len(x):
                 continue
             v = np.stack(x["_v"].to_numpy()).astype(np.float64)
-            every = [(np.arange(len(v)), np.arange(len(q)), None)]
-            for at, asking, bits in meeting(v, x["_cell"].to_numpy() if cell else None, q) if meeting else every:
+            for at, asking, buckets in meets(v, x["_cell"].to_numpy() if cell else None):
                 near = v[at]
-                own = (near * near).sum(axis=1)
+                sides = {}
                 for a in range(0, len(asking), block):
                     who = asking[a : a + block]
-                    part = q[who]
-                    d2 = norms[who, None] + own[None, :] - 2 * part @ near.T
-                    if bits is not None:
-                        d2[np.unpackbits(bits[a : a + block], axis=1, count=len(at)) == 0] = np.inf
-                    if len(at) > k:
-                        edge = np.partition(d2, k - 1, axis=1)[:, k - 1]
-                        best[who] = np.fmin(best[who], edge)
-                    bound = best[who] + 1e-9 * (1 + np.abs(best[who]) + norms[who])
-                    qi, ri = np.nonzero((d2 <= bound[:, None]) & (d2 < np.inf))
-                    out = x[names].iloc[at[ri]].reset_index(drop=True)
-                    out.insert(0, "query_id", ids[who[qi]])
-                    out["dist"] = np.sqrt(np.square(near[ri] - part[qi]).sum(axis=1))
+                    qi, ri, d2 = _closest(q[who], near, best[who, -1], k, sides, buckets, who)
+                    best[who] = _merged(best[who], qi, d2)
+                    keep = (d2 <= best[who[qi], -1] * (1 + SAME)) & (d2 < np.inf)
+                    out = x[names].iloc[at[ri[keep]]].reset_index(drop=True)
+                    out.insert(0, "query_id", ids[who[qi[keep]]])
+                    out["dist"] = np.sqrt(d2[keep])
                     if len(out):
                         yield out
 
     return slim.filter(F.col("_v").isNotNull() & (F.size("_v") == dim)).mapInPandas(run, schema).select(*back)
 
 
+SAME = 1e-12  # squares of distances this close, as a share, may have the same root
+PAIRS = 1 << 16  # pairs whose differences are in memory at a time
+
+
+def _closest(
+    q: np.ndarray, near: np.ndarray, best: np.ndarray, k: int, sides: dict[type, np.ndarray], buckets: Buckets | None, who: np.ndarray, first: int = 2048
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (query, row, square of distance) that meet, with all that are no farther than the k-th nearest row of the query or ``best``.
+
+    One product gives lower bounds of the squares, in single precision; where those
+    leave more than a sixteenth of the pairs, it is done again in double. A query that ``best`` leaves many rows
+    takes the k-th of the ``first`` rows for its bound. ``sides`` keeps the rows' side of the product for the next queries.
+    """
+    norms, dim, width = (q * q).sum(axis=1), q.shape[1], -(-len(near) // 8)
+    first = max(first, 4 * k)
+    for kind in (np.float32, np.float64):
+        share = 1 - 2 * (dim + 8) * np.finfo(kind).eps  # of both lengths; the rest is more than the product's rounding
+        if kind not in sides:
+            own = (near * near).sum(axis=1)
+            sides[kind] = np.column_stack([-2 * near, own * share, np.ones(len(near))]).astype(kind) if kind is np.float64 or own.max() < 1e30 else None
+        if sides[kind] is None or kind is np.float32 and norms.max() >= 1e30:
+            continue
+        low = np.column_stack([q, np.ones(len(q)), norms * share]).astype(kind) @ sides[kind].T
+        within = lambda d2: np.nextafter((d2 * (1 + SAME) + 8 * dim * np.finfo(kind).tiny).astype(kind), kind(np.inf))[:, None]  # noqa: B023, E731
+        packed = np.packbits(low <= within(best), axis=1)
+        many = np.flatnonzero(np.bitwise_count(packed).sum(axis=1, dtype=np.int64) > 4 * k)
+        if len(many):
+            if buckets:
+                packed[many] &= buckets.bits(who[many])
+            all_of, part = low[many], low[many, :first]
+            part[np.unpackbits(packed[many], axis=1, count=len(near))[:, :first] == 0] = np.inf
+            at = np.argpartition(part, k - 1, axis=1)[:, :k]
+            d2 = np.square(near[at] - q[many, None]).sum(axis=2)
+            d2 = np.where(np.isfinite(np.take_along_axis(part, at, 1)), d2, np.inf).max(axis=1)
+            packed[many] &= np.packbits(all_of <= within(d2), axis=1)
+            del all_of, part
+        place = np.flatnonzero(packed)
+        if kind is np.float64 or len(place) <= max(low.size // 16, 4 * k * len(q)):
+            break
+    del low
+    i, j = np.nonzero(np.unpackbits(packed.ravel()[place][:, None], axis=1))
+    qi, ri = place[i] // width, place[i] % width * 8 + j
+    if buckets:
+        meet = [buckets.pairs(who[qi[s : s + PAIRS]], ri[s : s + PAIRS]) for s in range(0, len(qi), PAIRS)]
+        keep = np.concatenate([np.zeros(0, bool), *meet])
+        qi, ri = qi[keep], ri[keep]
+    d2 = [np.square(near[ri[s : s + PAIRS]] - q[qi[s : s + PAIRS]]).sum(axis=1) for s in range(0, len(qi), PAIRS)]
+    return qi, ri, np.concatenate([np.zeros(0), *d2])
+
+
+def _merged(best: np.ndarray, qi: np.ndarray, d2: np.ndarray) -> np.ndarray:
+    """The least squares of each query, in order, with those of more pairs."""
+    k = best.shape[1]
+    order = np.lexsort((d2, qi))
+    qi, d2 = qi[order], d2[order]
+    rank = np.arange(len(qi)) - np.searchsorted(qi, qi)
+    more = np.full(best.shape, np.inf)
+    more[qi[rank < k], rank[rank < k]] = d2[rank < k]
+    return np.sort(np.concatenate([best, more], axis=1), axis=1)[:, :k]
+
+
 def _best(scored: DataFrame, k: int, fields: tuple[str, ...]) -> DataFrame:
     w = Window.partitionBy("query_id").orderBy("dist", *fields)
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", *fields, "dist")
@@ -164,7 +234,7 @@ def build_ivf(rows: DataFrame, cells: int, vec_col: str = "vectors", sample_rows
     Written partitioned by ``cell``, the table answers a probe by reading only its cells.
     """
     vectors = rows.withColumn("_v", array_to_vector(F.col(vec_col).cast("array<double>")))
-    sample = vectors.select("_v").orderBy(F.xxhash64("_v")).limit(sample_rows)
+    sample = cut(vectors.select("_v").orderBy(F.xxhash64("_v")).limit(sample_rows))
     fitted = KMeans(k=cells, seed=seed, featuresCol="_v", predictionCol="cell", maxIter=15).fit(sample)
     return fitted.transform(vectors).drop("_v"), fitted
 
@@ -177,11 +247,11 @@ def search_ivf(indexed: DataFrame, model: KMeansModel, queries: DataFrame, k: in
     """
     centres = np.stack(model.clusterCenters())
 
-    def meeting(v: np.ndarray, cells: np.ndarray, q: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, None]]:
+    def meeting(q: np.ndarray) -> Callable[[np.ndarray, np.ndarray], Iterator[tuple[np.ndarray, np.ndarray, None]]]:
         apart = np.stack([np.square(q - c).sum(axis=1) for c in centres], axis=1)
         probes = np.argsort(apart, axis=1, kind="stable")[:, :probe]
-        for c in np.unique(cells):
-            yield np.flatnonzero(cells == c), np.flatnonzero((probes == c).any(axis=1)), None
+        asking = {c: np.flatnonzero((probes == c).any(axis=1)) for c in range(len(centres))}
+        return lambda v, cells: ((np.flatnonzero(cells == c), asking[c], None) for c in np.unique(cells))
 
     asked = queries.filter(F.size("query") == centres.shape[1]).select("query_id", F.col("query").cast("array<double>").alias("query"))
     placed = indexed.select(*fields, vec_col, "cell").repartition("cell", F.pmod(F.xxhash64(*fields), F.lit(8))).sortWithinPartitions("cell")
@@ -233,14 +303,14 @@ def search_lsh(rows: DataFrame, queries: DataFrame, k: int, fields: tuple[str, .
     """Approximate neighbours by buckets of random projections; stands in for a graph index, whose walk isn't a plan of joins.
 
     A query probes, in each table, the bucket of its signs and those that differ in one.
-    Queries go to the scan of the rows in blocks as in :func:`search_each`; which of a batch share
-    a bucket is found in bits, and only those count. At a sixth of all pairs, products of whole
-    blocks take less than joining the pairs.
+    Queries go to the scan of the rows in blocks as in :func:`search_each`; only rows that share
+    a bucket count, which is found in bits until a query has ``k`` of them, and pair by pair for what comes
+    nearer than those. At a sixth of all pairs, products of whole blocks take less than joining the pairs.
     """
-    flips = [0, *(1 << b for b in range(bits))]
 
-    def meeting(v: np.ndarray, _: np.ndarray | None, q: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        yield np.arange(len(v)), np.arange(len(q)), _in_buckets(_keys(v, tables, bits, seed), _keys(q, tables, bits, seed), flips)
+    def meeting(q: np.ndarray) -> Callable[[np.ndarray, np.ndarray | None], Iterator[tuple[np.ndarray, np.ndarray, Buckets]]]:
+        own = _keys(q, tables, bits, seed)
+        return lambda v, _: iter([(np.arange(len(v)), np.arange(len(q)), Buckets(_keys(v, tables, bits, seed), own, bits))])
 
     asked = queries.filter("query is not null").select("query_id", F.col("query").cast("array<double>").alias("query"))
     return _best(_scans(rows, asked, k, fields, vec_col, meeting), k, fields)

@@ -65,3 +65,37 @@ def test_the_comparison_joins_no_pairs(spark, data):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan and "_cell" in plan  # no exploded probes; rows meet queries in the scan
     assert {r.recall for r in found.collect() if r.index_type == "FLAT"} == {1.0}
+
+
+def test_bounds_hold_from_batch_to_batch(spark):
+    x, rows, queries = _small(spark, 400)
+    asked = queries.filter("size(query) = 8").toPandas()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10)
+    try:
+        found = vectors._scan(rows.coalesce(1), asked, "bigint", 10, ("id",), "vectors").toPandas()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    best = found.sort_values(["dist", "id"]).groupby("query_id")["id"].apply(lambda s: list(s[:10]))
+    assert all(best[q] == sorted(range(400), key=lambda r: (np.square(x[q] - x[r]).sum(), r))[:10] for q in asked["query_id"])
+    assert len(found) < 100 * len(asked)  # 400 each, if a batch of k rows sets no bound
+
+
+def test_products_choose_all_that_may_be_nearest():
+    rng = np.random.default_rng(2)
+    for scale, offset in ((1, 0), (1, 1e3), (1e-25, 0), (1e30, 0)):
+        v = (rng.normal(size=(900, 8)) * scale + offset).astype(np.float32).astype(float)
+        v[::9] = v[0]  # copies
+        q, who = v[::30], np.arange(30)
+        keys = rng.integers(0, 8, size=(900, 2))
+        for buckets in (None, vectors.Buckets(keys, keys[::30], 3)):
+            best, kept = np.full((30, 5), np.inf), set()
+            for a in (600, 300, 0):
+                part = vectors.Buckets(keys[a : a + 300], keys[::30], 3) if buckets else None
+                qi, ri, d2 = vectors._closest(q, v[a : a + 300], best[:, -1], 5, {}, part, who, 40)
+                best = vectors._merged(best, qi, d2)
+                kept |= set(zip(qi.tolist(), (ri + a).tolist()))
+            for i in range(30):
+                meets = np.flatnonzero(buckets.pairs(np.full(900, i), np.arange(900))) if buckets else np.arange(900)
+                d2 = np.square(v[meets] - q[i]).sum(axis=1)
+                assert np.array_equal(best[i], np.sort(d2)[:5])
+                assert {(i, int(r)) for r in meets[d2 <= best[i, -1]]} <= kept
