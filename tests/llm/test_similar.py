@@ -95,3 +95,32 @@ def test_empty(spark):
 def test_near_pairs(spark):
     n = spark.createDataFrame([(1, 2, 1, 0.1), (2, 1, 1, 0.1), (3, 1, 1, 0.5)], "id long, neighbour long, rank int, distance double")
     assert [tuple(r) for r in near_pairs(n, 0.4).collect()] == [(1, 2)]
+
+
+def test_blocks_of_neighbouring_rows_leave_out_what_is_far(spark, monkeypatch):
+    """As probing every pair gives it, with few of the rows sent to further blocks and few products."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(12, DIM)) / 4
+    x = np.concatenate([c + 0.05 * rng.normal(size=(120, DIM)) for c in centres]).astype(np.float32)
+    x[5:60:5] = x[0] + 0.0001 * rng.normal(size=(11, DIM))
+    ids = np.arange(len(x)) * 3 + 1
+    code = similar.fit_rotations(x.astype(np.float64), 4)
+    sub = similar._encode(*code, x.astype(np.float64))
+    block = similar._Block(ids, x, sub, list(range(4)))
+    want = similar._nearest(block, ids, x, sub, similar._ball(16, 3), 5, 24, 3)
+    monkeypatch.setattr(similar, "GROUPS", 24)
+    groups = similar._Groups(x.astype(np.float64), len(x) * 256)
+    g = groups.of(x)
+    extent = similar._Extent(groups)
+    extent.add(groups, x)
+    bounds = groups.bounds(x, g, extent)
+    far = np.sqrt(((x[:, None].astype(np.float64) - x[None]) ** 2).sum(axis=2))
+    assert all((bounds[:, k] <= far[:, g == k].min(axis=1) + 1e-9).all() for k in np.unique(g))
+    members = similar._Members(ids, x, g, groups, code, (24, 3))
+    q, other, dist = members.nearest(ids, x, bounds, np.full(len(x), np.inf), 5)
+    assert list(zip(ids[q], other, dist)) == list(want.itertuples(index=False, name=None))
+    last = np.where(np.bincount(q, minlength=len(x)) == 5, dist[np.searchsorted(q, np.arange(len(x)), side="right") - 1], np.inf)
+    assert ((bounds <= last[:, None]) @ extent.size).mean() < 0.2 * len(x)
+    # The same by Spark, in blocks of 50 rows.
+    df = frame(spark, x, ids.tolist())
+    assert found(nearest_vectors(df, 5, dim=DIM, cell_rows=50)) == found(nearest_vectors(df, 5, dim=DIM))
