@@ -48,7 +48,7 @@ from folioflow.runtime import Kept, broadcast_within, cut
 CENTRE_BLOCK = 8192
 STEP = 1 << 24  # components are summed in whole numbers of 1 / STEP
 FINE = 32767  # mean vectors are compared in whole numbers of 1 / FINE
-FEW_NODES, FEW_EDGES = 150_000, 500_000  # one task's share of the rounds: about 0.3 GB at 64 components
+FEW_NODES, FEW_EDGES = 300_000, 1_000_000  # one task's share of the rounds: about 0.5 GB at 64 components
 
 
 def steps(x: str) -> str:
@@ -115,15 +115,28 @@ def _rest_of_rounds(state: DataFrame, link: DataFrame, threshold: float, slack:
     every = nodes.unionByName(link.selectExpr("a", "b", "w", "cast(null as long) n", "cast(null as array<long>) s"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not (every := [x for x in batches if len(x)]):
+        # Sums leave their batches one by one, so that they are held twice at most.
+        nodes, edges = [], []
+        for x in batches:
+            own = pc.is_valid(x["n"])
+            if len(y := x.filter(own)):
+                nodes.append((y["a"].to_numpy(), y["n"].to_numpy(), y["s"].flatten().to_numpy().reshape(len(y), -1).copy()))
+            if len(y := x.filter(pc.invert(own)).select(["a", "b", "w"])):
+                edges.append(y)
+        if not nodes:
             return
-        got = pa.Table.from_batches(every)
-        own = pc.is_valid(got["n"])
-        rows, edges = got.filter(own).sort_by("a"), got.filter(pc.invert(own))
-        ids, n = rows["a"].to_numpy(), rows["n"].to_numpy()
-        s = rows["s"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
-        a, b = np.searchsorted(ids, edges["a"].to_numpy()), np.searchsorted(ids, edges["b"].to_numpy())
-        left, n, s = merge_in_memory(n, s, a, b, edges["w"].to_numpy(), threshold, slack, most_rounds)
+        ids, n = (np.concatenate([x[k] for x in nodes]) for k in (0, 1))
+        order = np.argsort(ids)
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        ids, n, s = ids[order], n[order], np.empty((len(ids), nodes[0][2].shape[1]), np.int64)
+        start = 0
+        for k, (own_ids, _, sums) in enumerate(nodes):
+            s[place[start : start + len(own_ids)]] = sums
+            start, nodes[k] = start + len(own_ids), None
+        get = lambda c, kind: np.concatenate([np.zeros(0, kind), *[x[c].to_numpy() for x in edges]])
+        a, b = (np.searchsorted(ids, get(c, np.int64)) for c in "ab")
+        left, n, s = merge_in_memory(n, s, a, b, get("w", np.float64), threshold, slack, most_rounds)
         for k in range(0, len(left), 10_000):
             part = s[k : k + 10_000]
             offsets = np.arange(0, part.size + 1, part.shape[1], dtype=np.int32)
@@ -216,6 +229,19 @@ def _within_block(units: DataFrame, shared: Broadcast, bound: float, larger: boo
     return units.mapInPandas(compare, "id long, u array<double>, cluster long, cosine double")
 
 
+def _to_length_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, u) of (id, v). In an expression of columns the length would be inlined, and so computed for every component."""
+    for x in batches:
+        if len(x):
+            v = x["v"].flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(x), -1)
+            square = np.zeros(len(x))
+            for k in range(v.shape[1]):  # one after another, as sums of other orders would differ in their last digit
+                square += v[:, k] * v[:, k]
+            u = v / np.sqrt(square)[:, None]
+            offsets = np.arange(0, u.size + 1, u.shape[1], dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([x["id"], pa.ListArray.from_arrays(offsets, u.ravel())], ["id", "u"])
+
+
 def cluster_rows(
     df: DataFrame,
     id_col: str = "id",
@@ -242,8 +268,7 @@ def cluster_rows(
     RuntimeError if centres still moved by then.
     """
     rows = usable(df, id_col, vec_col, dim)
-    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    units = cut(rows.withColumn("l", length).select("id", F.transform("v", lambda x: x.cast("double") / F.col("l")).alias("u")))
+    units = cut(rows.mapInArrow(_to_length_one, "id long, u array<double>"))
     # Copies are one node: among rows, a vector's own copies would take up all its edges.
     nodes = cut(units.groupBy(F.transform("u", lambda x: x.cast("float")).alias("v")).agg(F.min("id").alias("id"), F.count("*").alias("n")))
     # The graph is searched among unit vectors: the order by distance is that by cosine.

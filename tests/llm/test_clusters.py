@@ -161,3 +161,24 @@ def test_copies_alone_are_a_cluster(spark):
     x = np.concatenate([np.repeat(np.eye(DIM)[:1], 6, axis=0), np.eye(DIM)[1:4]])
     members, clusters = cluster_rows(frame(spark, x), dim=DIM)
     assert {r.id for r in members.collect()} == set(range(1, 7)) and [(r["cluster"], r["size"]) for r in clusters.collect()] == [(1, 6)]
+
+
+def test_sums_leave_their_batches_one_by_one(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(90, DIM)) + np.repeat(np.eye(DIM)[:3] * 4, 30, axis=0)
+    rows = spark.createDataFrame([(k, [float(c) for c in v]) for k, v in enumerate(x)], "id long, v array<float>")
+    units = {r.id: r.u for r in rows.mapInArrow(C._to_length_one, "id long, u array<double>").collect()}
+    for k, v in enumerate(x.astype(np.float32).astype(np.float64)):
+        length = 0.0
+        for c in v:
+            length += c * c
+        assert units[k] == [c / np.sqrt(length) for c in v]
+    n, s = np.ones(90, np.int64), np.array([np.floor(np.array(units[k]) * STEP + 0.5) for k in range(90)]).astype(np.int64)
+    a, b = np.triu_indices(90, 1)
+    w = np.array([np.dot(units[p], units[q]) for p, q in zip(a, b)])
+    left, count, sums = C.merge_in_memory(n, s, a, b, w, 0.25, 0.12, 50)
+    order = rng.permutation(90)
+    state = spark.createDataFrame([(int(k) * 7, 1, s[k].tolist()) for k in order], "cluster long, n long, s array<long>").repartition(5)
+    link = spark.createDataFrame([(int(p) * 7, int(q) * 7, float(c), 1, 1) for p, q, c in zip(a, b, w)], "a long, b long, w double, na long, nb long").repartition(3)
+    got = {r.cluster: (r.n, r.s) for r in C._rest_of_rounds(state, link, 0.25, 0.12, 50).collect()}
+    assert got == {int(k) * 7: (int(c), v.tolist()) for k, c, v in zip(left, count, sums)} and len(got) < 10
