@@ -48,7 +48,7 @@ from folioflow.runtime import Kept, broadcast_within, cut
 CENTRE_BLOCK = 8192
 STEP = 1 << 24  # components are summed in whole numbers of 1 / STEP
 FINE = 32767  # mean vectors are compared in whole numbers of 1 / FINE
-FEW_NODES, FEW_EDGES = 300_000, 1_000_000  # one task's share of the rounds: about 0.5 GB at 64 components
+FEW_NODES, FEW_EDGES = 300_000, 1_000_000  # one task's share of the rounds: about 0.5 GB at 64 components, as estimated
 
 
 def steps(x: str) -> str:

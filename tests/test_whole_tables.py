@@ -78,3 +78,32 @@ def test_keyword_pairs_in_blocks_without_candidates(spark, monkeypatch):
     sims = themes.pair_similarities(sets, 0.2)
     assert "Join" not in sims._jdf.queryExecution().toString()
     assert {(r.id1, r.id2): r.sim for r in sims.collect()} == {(a, b): len(c) / len(set(kw[a]) | set(kw[b])) for (a, b), c in want.items()}
+
+
+def test_keyword_pairs_count_frequent_words_in_rows_of_bytes(monkeypatch):
+    import pyarrow as pa
+
+    from folioflow.operators import themes
+
+    class Shared:
+        value = None
+
+    rng = np.random.default_rng(7)
+    # Some words in most documents, some in few, and one document with more words than a byte counts.
+    kw = [sorted({f"w{int(w)}" for w in rng.integers(0, 30, rng.integers(1, 20))} | {f"r{int(w)}" for w in rng.integers(0, 900, 4)}) for _ in range(300)]
+    kw[7] = kw[8] = sorted({*kw[7], *(f"m{k}" for k in range(400))})
+    ids = [f"d{k:03}" for k in range(300)]
+    shared = Shared()
+    shared.value = themes._postings(pa.table({"doc_id": ids, "kw": kw}))
+    x = pa.RecordBatch.from_pydict({"doc_id": ids, "kw": kw, "_block": [0] * 300})
+    shares = {(a, b): len(set(kw[a]) & set(kw[b])) / len(set(kw[a]) | set(kw[b])) for b in range(300) for a in range(b)}
+    want = {(ids[a], ids[b]): s for (a, b), s in shares.items() if s > 0.1}
+    for words in (0, 2048):
+        monkeypatch.setattr(themes, "PAIR_WORDS", words)  # no word, or every frequent one
+        got = [r for y in themes._pairs_with(shared, 0, 0.1)([x]) for r in y.to_pylist()]
+        assert {(r["id1"], r["id2"]): r["sim"] for r in got} == want and len(got) == len(want) and want["d007", "d008"] == 1
+    from decimal import ROUND_HALF_UP, Decimal
+
+    half_up = lambda s: float(Decimal(repr(s)).quantize(Decimal("0.000001"), ROUND_HALF_UP))
+    rounded = [r for y in themes._pairs_with(shared, 0, 0.1, 6)([x]) for r in y.to_pylist()]
+    assert {(r["id1"], r["id2"]): r["sim"] for r in rounded} == {p: half_up(s) for p, s in want.items()}
